@@ -12,6 +12,7 @@ encoded once by each Python worker and kept in a bounded cache. There is no shuf
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -141,12 +142,13 @@ def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     proto = read_model(model)
     library = Library(proto)
     keys = frequent_pretokens(docs, text, library.cut_lines, sample_docs, frequent)
+    tag = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast((proto, keys, [library.count(k) for k in keys]))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _workers.get("lengths", (None,))[0] != shared.id:
+        if _workers.get("lengths", (None,))[0] != tag:
             proto, keys, counts = shared.value
-            _workers["lengths"] = shared.id, Lengths(Library(proto), dict(zip(keys, counts, strict=True)))
+            _workers["lengths"] = tag, Lengths(Library(proto), dict(zip(keys, counts, strict=True)))
         lengths = _workers["lengths"][1]
         get, cut = lengths.__getitem__, lengths.library.cut_lines
         for batch in batches:
@@ -332,13 +334,13 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", de
 
     kept = [c for c in docs.columns if c not in (ids, decoded)]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)] + ([T.StructField(decoded, T.StringType(), False)] if decoded else []))
-    shared = docs.sparkSession.sparkContext.broadcast(read_model(model))
+    shared, tag = docs.sparkSession.sparkContext.broadcast(read_model(model)), uuid.uuid4().hex
     at = kept.index(text)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _workers.get("ids", (None,))[0] != shared.id:
+        if _workers.get("ids", (None,))[0] != tag:
             library = Library(shared.value)
-            _workers["ids"] = shared.id, Ids(Lattice(library)), Decoder(library)
+            _workers["ids"] = tag, Ids(Lattice(library)), Decoder(library)
         _, cache, decoder = _workers["ids"]
         get, cut = cache.__getitem__, cache.lattice.library.cut_lines
         for whole in batches:
