@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_bucket, settled, texts
 
-DEPTH = 4
+DEPTH = 5
 FOLD, FOLDS = 1, 5
 #: Rows of a table that are broadcast at once, 16 bytes each.
 SLICE = 8_000_000
