@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import tempfile
 import zlib
 
@@ -18,14 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; a temporary folder is set only where the cluster names none, as in tests.
-    """
-    context = df.sparkSession.sparkContext
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for written intermediate tables: ``spark.checkpoint.dir``, or a temporary one where the cluster names none."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint."""
+    scratch(df.sparkSession)
     return df.checkpoint()
 
 
@@ -77,6 +79,3 @@ def in_filter(words: np.ndarray, hashes: np.ndarray, log2_bits: int) -> np.ndarr
     bit = hashes >> np.uint64(64 - log2_bits)
     return (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
 
-
-def packed(blob: bytes) -> str:
-    return base64.b64encode(blob).decode()
