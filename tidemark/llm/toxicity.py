@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,11 +32,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_bucket, id_bucket_column, texts
 
-MAX_LABELLED = 12_000
-MAX_UNLABELLED = 4_000
+MAX_LABELLED = 8_000
+MAX_UNLABELLED = 2_000
 #: Features of the classifier, at most.
 MAX_FEATURES = 6_000
-#: Distinct features of one training text that are looked at come from whole texts; a feature counts once a distinct word.
 BEGINNINGS = (4, 5, 6)
 PARTS = 3
 SATURATION = 4
@@ -52,6 +50,7 @@ LEXICONS = {
     "fr_insults": "idiot idiote imbécile connard stupide ordure pathétique dégoûtant crétin",
     "es_insults": "idiota imbécil estúpido basura escoria patético asqueroso payaso inútil",
 }
+LEXICON_SETS = {k: set(v.split()) for k, v in LEXICONS.items()}
 #: Fixed patterns over the raw text.
 PATTERNS = {
     "you_are": re.compile(rb"(?i)\byou(?:'re| are)? (?:such )?an? [a-z]{3,}"),
@@ -65,60 +64,96 @@ def words_of(raw: bytes) -> set[str]:
     return set(raw.lower().translate(SEPARATORS).decode(errors="replace").split())
 
 
-def features_of(word: str) -> list[str]:
-    """The word, and its beginnings if it is longer."""
-    return [word, *(f"{word[:n]}~" for n in BEGINNINGS if len(word) > n)]
+def features_of(word: str) -> list[int]:
+    """32-bit hashes of the word and, if it is longer, of its beginnings; the last two bits tell the kind: 0 the word, then each beginning."""
+    import xxhash
+
+    h = xxhash.xxh32_intdigest
+    return [h(word) & ~3, *(h(word[:n], k) & ~3 | k for k, n in enumerate(BEGINNINGS, 1) if len(word) > n)]
 
 
 @dataclass
 class Model:
     bias: float
-    weights: dict[str, float]
+    weights: dict[int, float]  # by feature
     voters: dict[str, tuple[float, float]] = field(default_factory=dict)  # true and false positive rate
     correlated: dict[str, int] = field(default_factory=dict)
 
 
-def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[tuple[bytes, int | None]]:
-    """Texts of the training sample with their labels; None: not labelled. At most MAX_LABELLED + MAX_UNLABELLED rows."""
+@dataclass
+class Row:
+    """A training text: its label or None, features with counts, fixed voters' votes, and a signature that copies share."""
+
+    y: int | None
+    features: np.ndarray
+    counts: np.ndarray
+    votes: list[int]
+    signature: int
+
+
+class Features(dict):
+    """Features by word, kept while they are many texts' words."""
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = features_of(word)
+        return out
+
+
+def described(raw: bytes, cache: Features) -> tuple[np.ndarray, np.ndarray, list[int], int]:
+    import xxhash
+
+    words = words_of(raw)
+    features, counts = np.unique(np.array([f for w in words for f in cache[w]], np.uint32), return_counts=True)
+    votes = [int(not own.isdisjoint(words)) for own in LEXICON_SETS.values()] + [int(bool(p.search(raw))) for p in PATTERNS.values()]
+    # near copies share their four least word hashes
+    least = sorted(map(xxhash.xxh3_64_intdigest, words))[:4] if len(words) > 8 else [xxhash.xxh3_64_intdigest(" ".join(sorted(words)))]
+    return features, np.minimum(counts, SATURATION).astype(np.uint8), votes, xxhash.xxh3_64_intdigest(repr(least)) >> 1
+
+
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[Row]:
+    """At most MAX_LABELLED + MAX_UNLABELLED training rows. Texts become feature hashes where they are; the driver sees no text."""
     ours = F.col("i").isNotNull() & (id_bucket_column(F.col("i")) != 0)
     known = labels.select(F.col(key).alias("i"), F.col(label).cast("int").alias("y")).filter(ours & F.col("y").isNotNull()).groupBy("i").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("i"), "i").limit(MAX_LABELLED)
     others = docs.select(F.col(key).alias("i")).filter(ours).orderBy(F.xxhash64(F.col("i"), F.lit(1)), "i").limit(MAX_UNLABELLED).select("i", F.lit(None).cast("int").alias("y"))
     chosen = known.unionByName(others).groupBy("i").agg(F.max("y").alias("y"))
     # at most MAX_LABELLED + MAX_UNLABELLED rows, by the limits above
-    found = docs.select(F.col(key).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").dropDuplicates(["i"])
+    found = docs.select(F.col(key).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Features()
         for batch in batches:
-            raws = texts(batch, 0)
-            signs = [[int(bool(p.search(x))) for p in PATTERNS.values()] for x in raws]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([" ".join(sorted(words_of(x))) for x in raws], pa.string()), pa.array(signs, pa.list_(pa.int32()))], ["y", "words", "signs"])
+            rows = [described(x, cache) for x in texts(batch, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.int64())], ["i", "y", "features", "counts", "votes", "signature"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    got = found.mapInArrow(features, f"i {kind}, y int, features binary, counts binary, votes array<int>, signature long").toArrow()
+    order = np.argsort(np.array(got.column("signature").to_pylist(), np.int64), kind="stable")
+    columns = [got.column(c).to_pylist() for c in ("y", "features", "counts", "votes", "signature")]
+    return [Row(columns[0][k], np.frombuffer(columns[1][k], np.uint32), np.frombuffer(columns[2][k], np.uint8), columns[3][k], columns[4][k]) for k in order.tolist()]
 
-    rows = found.orderBy("i").select("t", "y").mapInArrow(distinct, "y int, words string, signs array<int>").toArrow()
-    return list(zip(rows.column("y").to_pylist(), rows.column("words").to_pylist(), rows.column("signs").to_pylist(), strict=True))
+
+def rows_of(texts_: list[tuple[bytes, int | None]]) -> list[Row]:
+    """Training rows of texts and labels that are at hand."""
+    cache = Features()
+    return [Row(y, *described(x, cache)) for x, y in texts_]
 
 
 class Matrix:
-    """Rows of features with counts, each feature counted once for a distinct word."""
-
-    def __init__(self, rows: list[list[str]]):
-        ids: dict[str, int] = {}
-        of_word: dict[str, np.ndarray] = {}
-        at, values, sizes = [], [], []
-        for words in rows:
-            for w in words:
-                if w not in of_word:
-                    of_word[w] = np.array([ids.setdefault(f, len(ids)) for f in features_of(w)], np.int64)
-            f, n = np.unique(np.concatenate([of_word[w] for w in words]) if words else np.zeros(0, np.int64), return_counts=True)
-            at.append(f)
-            values.append(n)
-            sizes.append(len(f))
-        self.n = len(rows)
-        self.names = list(ids)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int64)
-        self.values = np.minimum(np.concatenate(values), SATURATION).astype(float) if values else np.zeros(0)
-        self.row = np.repeat(np.arange(len(rows)), sizes)
-        self.kind = np.array([len(f) - 1 if f[-1] == "~" else 0 for f in self.names], np.int64)
+    """Rows of features with counts. Features of fewer than three rows are left out."""
+
+    def __init__(self, rows: list[Row], least: int = 3):
+        at = np.concatenate([r.features for r in rows]) if rows else np.zeros(0, np.uint32)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r.features) for r in rows]) if rows else np.zeros(0, np.int32)
+        values = np.concatenate([r.counts for r in rows]) if rows else np.zeros(0, np.uint8)
+        names, n = np.unique(at, return_counts=True)
+        self.names = names[n >= least]
+        keep = np.isin(at, self.names)
+        self.at = np.searchsorted(self.names, at[keep])
+        self.row, self.values, self.n = row[keep], values[keep].astype(float), len(rows)
+        self.kind = (self.names & 3).astype(np.int64)
 
     def telling(self, pos: np.ndarray, neg: np.ndarray, z: float, times: float, least: int = 3) -> np.ndarray:
         """Features, the most telling first, that rows of weight ``pos`` have significantly and ``times`` more often than those of ``neg``."""
@@ -168,29 +203,22 @@ def label_model(votes: np.ndarray, start: np.ndarray, gold: np.ndarray, rounds:
     return post, rates, companions
 
 
-def train(rows: list[tuple[int | None, str, list[int]]]) -> Model:
+def train(rows: list[Row]) -> Model:
     rows = without_copies(rows)
-    words = [w.split() for _, w, _ in rows]
-    if not any(words):
+    m = Matrix(rows)
+    if not len(m.names):
         return Model(-2.0, lexicon_weights())
-    names, votes = [], []
-    for name, listed in LEXICONS.items():
-        own = set(listed.split())
-        names.append(name)
-        votes.append(np.array([int(not own.isdisjoint(w)) for w in words]))
-    for k, name in enumerate(PATTERNS):
-        names.append(name)
-        votes.append(np.array([s[k] for _, _, s in rows], int))
-    m = Matrix(words)
-    gold = np.array([0 if y is None else 1 if y > 0 else -1 for y, _, _ in rows])
+    names = [*LEXICONS, *PATTERNS]
+    votes = list(np.array([r.votes for r in rows]).T)
+    gold = np.array([0 if r.y is None else 1 if r.y > 0 else -1 for r in rows])
     fixed = len(names)
     part = np.arange(len(rows)) % PARTS
-    for kind in (0, *BEGINNINGS):
+    for kind in range(len(BEGINNINGS) + 1):
         for k in range(PARTS):
             mined = m.telling(((gold > 0) & (part != k)).astype(float), ((gold < 0) & (part != k)).astype(float), 5.0, 8.0)
             mined = mined[m.kind[mined] == kind]
             if len(mined):
-                names.append(f"{'words' if not kind else f'beginnings_{kind}'}_{k}")
+                names.append(f"{'words' if not kind else f'beginnings_{BEGINNINGS[kind - 1]}'}_{k}")
                 votes.append(np.where(m.hits(mined) > 0, 1, -1))
     matrix = np.array(votes).T
     if len(names) > fixed:
@@ -204,24 +232,21 @@ def train(rows: list[tuple[int | None, str, list[int]]]) -> Model:
     return Model(bias, weights, {n: (float(rates[i, 1, 2]), float(rates[i, 0, 2])) for i, n in enumerate(names)}, {n: int(companions[i]) for i, n in enumerate(names)})
 
 
-def without_copies(rows: list) -> list:
-    """One training row of each group of copies: of those with the same four smallest word hashes."""
-    import xxhash
-
-    seen: dict = {}
+def without_copies(rows: list[Row]) -> list[Row]:
+    """One row of each group of copies, a labelled one if there is one."""
+    seen: dict[int, Row] = {}
     for row in rows:
-        words = row[1].split()
-        key = tuple(sorted(map(xxhash.xxh3_64_intdigest, words))[:4]) if len(words) > 8 else (row[1],)
-        if key not in seen or (seen[key][0] is None and row[0] is not None):
-            seen[key] = row
+        have = seen.get(row.signature)
+        if have is None or (have.y is None and row.y is not None):
+            seen[row.signature] = row
     return list(seen.values())
 
 
-def lexicon_weights() -> dict[str, float]:
-    return {w: 3.0 for listed in LEXICONS.values() for w in listed.split()}
+def lexicon_weights() -> dict[int, float]:
+    return {features_of(w)[0]: 3.0 for own in LEXICON_SETS.values() for w in own}
 
 
-def classifier(m: Matrix, post: np.ndarray, rounds: int = 300, l2: float = 0.0002) -> tuple[float, dict[str, float]]:
+def classifier(m: Matrix, post: np.ndarray, rounds: int = 300, l2: float = 0.0002) -> tuple[float, dict[int, float]]:
     """Logistic regression on soft labels over the features that tell the classes apart; full gradient steps with momentum."""
     chosen = m.telling((post >= 0.5).astype(float), (post < 0.5).astype(float), 5.0, 5.0)[:MAX_FEATURES]
     if not len(chosen):
@@ -240,7 +265,22 @@ def classifier(m: Matrix, post: np.ndarray, rounds: int = 300, l2: float = 0.000
         gradient = np.bincount(column, value * err[row], minlength=len(chosen)) / m.n + l2 * w
         vw, vb = 0.8 * vw - step * gradient, 0.8 * vb - step * err.mean()
         w, b = np.clip(w + vw, 0, None), b + vb
-    return float(b), {m.names[f]: float(w[i]) for i, f in enumerate(chosen) if w[i] > 1e-6}
+    scale, shift = calibrated(b + np.bincount(row, value * w[column], minlength=m.n), post)
+    w, b = w * scale, b * scale + shift
+    return float(b), {int(m.names[f]): float(w[i]) for i, f in enumerate(chosen) if w[i] > 1e-6}
+
+
+def calibrated(logit: np.ndarray, post: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and shift of the logits that fit the posterior best, by Newton steps; the slope stays positive."""
+    a, c = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * logit + c, -30, 30)))
+        err, h = p - post, np.maximum(p * (1 - p), 1e-6)
+        g = np.array([(err * logit).mean() + 0.001 * (a - 1), err.mean()])
+        hessian = np.array([[(h * logit * logit).mean() + 0.001, (h * logit).mean()], [(h * logit).mean(), h.mean() + 1e-6]])
+        step = np.linalg.solve(hessian, g)
+        a, c = float(np.clip(a - np.clip(step[0], -0.5, 0.5), 0.1, 20)), float(c - np.clip(step[1], -1, 1))
+    return a, c
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -250,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 class Scores(dict):
     """By word, the classifier's weights of its features: a list of (feature, weight), mostly empty."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
@@ -265,7 +305,7 @@ class Scores(dict):
 
 def score_text(raw: bytes, model: Model, scores: Scores) -> float:
     """Probability of class 1; a feature counts once a distinct word, up to SATURATION times."""
-    seen: dict[str, int] = {}
+    seen: dict[int, int] = {}
     logit = model.bias
     for hit in filter(None, map(scores.__getitem__, set(raw.lower().translate(SEPARATORS).split()))):
         for f, w in hit:
