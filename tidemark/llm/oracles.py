@@ -19,7 +19,8 @@ SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept
 
 SQL["op2_suffix_dedup"] = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+o AS (SELECT doc_id, o, length(h) // 2 - 199 AS n, substr(h, 2 * o + 1, 2 * 711) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199, 512)) AS o FROM d WHERE length(h) >= 400)),
+w AS (SELECT doc_id, o + i AS i, md5(substr(part, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, o, part, unnest(range(0, least(512, n - o))) AS i FROM o)),
 s AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT s FROM w GROUP BY s HAVING count(*) > 1) r ON w.s = r.s),
 g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM s),
 n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
