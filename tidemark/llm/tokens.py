@@ -30,6 +30,8 @@ SAMPLE_DOCS = 4000
 FREQUENT = 1 << 16
 #: Pre-tokens that a worker's cache holds besides.
 CACHED = 400_000
+#: Pre-tokens whose ids a worker keeps.
+CACHED_IDS = 900_000
 #: Longer pre-tokens are not cached, which bounds the cache's bytes.
 LONGEST_CACHED = 64
 
@@ -188,12 +190,19 @@ class Lattice:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.has_bytes = all(sp.is_byte(i) for i in self.byte)
         self.known = {c for p in self.ids for c in p}
-        #: id of every piece, -1 for a proper prefix of one that is no piece
-        self.trie = {p[:n]: -1 for p in self.ids for n in range(1, len(p))} | self.ids
+        #: by character: (id of the piece so far or -1, what may follow)
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p[:-1]:
+                node = node.setdefault(c, (-1, {}))[1]
+            node[p[-1]] = (i, node[p[-1]][1] if p[-1] in node else {})
         self.size = [len(p) for p in library.pieces]
         self.scores = [sp.get_score(i) for i in range(len(library.pieces))]
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[int, bool] = {}
+        #: by the piece before (-1: none, at the end), whether a piece may follow it, as far as it has been asked
+        self.pairs: list[dict[int, bool]] = [{} for _ in range(len(library.pieces) + 1)]
+        self.asked = 0
         self.most_held = 0
 
     def merged(self, text: str) -> list[str]:
@@ -211,11 +220,14 @@ class Lattice:
 
     def follows(self, a: int, t: int) -> bool:
         """Whether piece t may follow piece a (-1: the start); kept by the caller."""
-        if len(self.pairs) > 1_000_000:
-            self.pairs.clear()
+        self.asked += 1
+        if self.asked > 1_000_000:
+            self.asked = 0
+            for row in self.pairs:
+                row.clear()
         pieces = self.library.pieces
         ok = self.merged(pieces[a] + pieces[t]) == [pieces[a], pieces[t]] if a >= 0 else self.merged(pieces[t]) == [pieces[t]]
-        self.pairs[(a + 1) << 32 | t] = ok
+        self.pairs[a][t] = ok
         return ok
 
     def fallback(self, c: str) -> list[int]:
@@ -238,36 +250,38 @@ class Lattice:
         """The ids of characters that all are in some piece."""
         out: list[int] = []
         n, longest, base = len(chars), self.longest, 0  # what is before base is committed
-        trie, pairs = self.trie, self.pairs
+        trie, pairs, bpe = self.trie, self.pairs, self.bpe
         # ends[k]: the piece that ends the best path to base + k; None: not reached. ends[0] is what went before, -1 at the start
         ends: list[int | None] = [-1] + [None] * min(n, 5 * longest)
         best = [0.0] * len(ends)
-        i = 0
-        while i < n:
+        for i in range(n):
             k = i - base
             a = ends[k]
             if a is not None:
-                before = (a + 1) << 32
-                for e in range(k + 1, min(k + longest, n - base) + 1):
-                    t = trie.get(chars[i : base + e])
-                    if t is None:
+                after = pairs[a]
+                e, below = k, trie
+                for c in chars[i : i + longest]:
+                    node = below.get(c)
+                    if node is None:
                         break
+                    t, below = node
+                    e += 1
                     if t >= 0:
-                        if self.bpe:
+                        if bpe:
                             if ends[e] is None:
-                                ok = pairs.get(before | t)
+                                ok = after.get(t)
                                 if ok or (ok is None and self.follows(a, t)):
                                     ends[e] = t
                         elif ends[e] is None or best[k] + self.scores[t] > best[e]:
                             ends[e], best[e] = t, best[k] + self.scores[t]
-            i += 1
-            if i - base >= 4 * longest and i < n:
-                # positions from here to the last that a piece can reach are open; boundaries below i are settled
-                b = self.converged(ends, i - base)
+            k += 1
+            if k >= 4 * longest and i + 1 < n:
+                # positions from here to the last that a piece can reach are open; boundaries before are settled
+                b = self.converged(ends, k)
                 if b:
                     out += self.path(ends, b)
                     ends, best, base = ends[b:], [x - best[b] for x in best[b:]], base + b
-                more = max(i - base, 4 * longest) + longest + 1 - len(ends)
+                more = max(i + 1 - base, 4 * longest) + longest + 1 - len(ends)
                 if more > 0:
                     ends += [None] * more
                     best += [0.0] * more
@@ -305,7 +319,7 @@ class Ids(dict):
     def __missing__(self, key: str) -> bytes:
         out = np.array(self.lattice.ids_of(key), np.int32).tobytes()
         if len(key) <= LONGEST_CACHED:
-            if len(self) >= CACHED:
+            if len(self) >= CACHED_IDS:
                 self.clear()
             self[key] = out
         return out
