@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -31,6 +32,13 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the scratch folder as compressed Parquet and read again: for tables with texts, which checkpoints keep uncompressed."""
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def id_bucket(doc_id, modulus: int = 5) -> int:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
@@ -45,6 +53,31 @@ def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches, rows: int = 256):
+    """The batches in slices of so many rows, which bounds what a worker holds besides."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+class BitFilter:
+    """A filter's words, compressed for the broadcast and unpacked once by each worker."""
+
+    _unpacked: dict = {}
+
+    def __init__(self, words: np.ndarray):
+        self.tag, self.blob = uuid.uuid4().hex, zlib.compress(words.tobytes(), 1)
+
+    @property
+    def words(self) -> np.ndarray:
+        held = BitFilter._unpacked
+        if self.tag not in held:
+            if len(held) >= 6:
+                held.clear()
+            held[self.tag] = np.frombuffer(zlib.decompress(self.blob), np.uint64)
+        return held[self.tag]
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (multiply-xorshift), vectorised; overflow wraps."""
     h = h ^ (h >> np.uint64(33))

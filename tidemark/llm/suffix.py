@@ -12,6 +12,7 @@ found without loss:
    prefix shared with the one before, and the rest. Equal suffixes of a run are one entry with a list of places. The ranges come from a
    bounded sample of suffixes. Runs are exchanged by range and merged by a loser tree whose entries carry the length of the prefix they
    share with the last winner: a longer one wins without looking, and of equals only what follows that prefix is compared.
+   Only places that are still open travel; what stands for a counterpart that is decided elsewhere is a count.
 4. Places of suffixes that came up twice or more give spans of bytes, joined to their documents by the text's hash and length.
 
 Counts come back as bit filters of fixed size; a full filter lets more suffixes through to the sort and changes no result.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hash_filter, in_filter, mix64, settled, texts
+from tidemark.llm.common import BitFilter, hash_filter, in_filter, mix64, stored, texts
 
 GRAM = 64
 CELL = 12
@@ -172,7 +173,7 @@ CHUNK = "t long, size int, copies int, at int, n int, value long, whole long, ch
 
 def chunks(docs: DataFrame, text: str, length: int, filter_: np.ndarray) -> DataFrame:
     """Chunks whose anchor is in the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+    shared = docs.sparkSession.sparkContext.broadcast(BitFilter(filter_))
     names = [c.split()[0] for c in CHUNK.split(", ")]
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,7 @@ def chunks(docs: DataFrame, text: str, length: int, filter_: np.ndarray) -> Data
         for batch in batches:
             for raws, copies in grouped(texts(batch, 0), length):
                 w = Windows(raws, length)
-                which = np.flatnonzero(in_filter(shared.value, w.value, LOG2_BITS))
+                which = np.flatnonzero(in_filter(shared.value.words, w.value, LOG2_BITS))
                 if not len(which):
                     continue
                 of = w.text[which]
@@ -244,7 +245,7 @@ class Suspects:
     def __init__(self, table: DataFrame, length: int):
         spark = table.sparkSession
         self.table, self.length = table, length
-        send = spark.sparkContext.broadcast
+        send = lambda words: spark.sparkContext.broadcast(BitFilter(words))
         self.whole = send(repeated(table.select(F.col("whole").alias("h"), F.col("copies").cast("long").alias("n"))))
         self.open = send(hash_filter(self.rows(self.open_anchors).select("h").distinct(), LOG2_BITS))
         self.cells = send(repeated(self.rows(self.cell_hashes)))
@@ -265,7 +266,7 @@ class Suspects:
         return self.table.mapInArrow(run, "h long, n long")
 
     def unresolved(self, batch: pa.RecordBatch) -> np.ndarray:
-        return ~in_filter(self.whole.value, u64(batch.column("whole")), LOG2_BITS)
+        return ~in_filter(self.whole.value.words, u64(batch.column("whole")), LOG2_BITS)
 
     @staticmethod
     def open_anchors(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -275,7 +276,7 @@ class Suspects:
 
     def opened(self, batch: pa.RecordBatch) -> np.ndarray:
         """Chunks of these anchors, repeated or not."""
-        return np.flatnonzero(in_filter(self.open.value, u64(batch.column("value")), LOG2_BITS))
+        return np.flatnonzero(in_filter(self.open.value.words, u64(batch.column("value")), LOG2_BITS))
 
     @staticmethod
     def cell_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -288,8 +289,8 @@ class Suspects:
     def looked_at(self, batch: pa.RecordBatch, which: np.ndarray, c: Cells) -> tuple[np.ndarray, np.ndarray]:
         """Cells of chunks that aren't repeated as a whole: those that are repeated, and others with a repeated core."""
         loose = self.unresolved(batch)[which][c.row]
-        union = in_filter(self.cells.value, c.union, LOG2_BITS)
-        return loose & union, loose & ~union & in_filter(self.cells.value, c.core, LOG2_BITS)
+        union = in_filter(self.cells.value.words, c.union, LOG2_BITS)
+        return loose & union, loose & ~union & in_filter(self.cells.value.words, c.core, LOG2_BITS)
 
     @staticmethod
     def wanted_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -304,7 +305,7 @@ class Suspects:
 
     def window_places(self, c: Cells) -> tuple[np.ndarray, np.ndarray]:
         """Cells with a wanted core, window by window: cell and place of each."""
-        cells = np.flatnonzero(in_filter(self.wanted.value, c.core, LOG2_BITS))
+        cells = np.flatnonzero(in_filter(self.wanted.value.words, c.core, LOG2_BITS))
         of = np.repeat(cells, c.n[cells])
         inside = np.arange(len(of)) - np.repeat(np.cumsum(c.n[cells]) - c.n[cells], c.n[cells])
         return of, inside
@@ -318,24 +319,42 @@ class Suspects:
         of, inside = self.window_places(c)
         return tallied([mix64(c.window[c.place[of] + inside] + ODD[3])], [c.copies[of]])
 
-    def suffixes(self, batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
-        """(string, row, first byte in the row's chunk) of what the sort must decide on."""
-        whole = np.flatnonzero(~self.unresolved(batch))
+    def suffixes(self, batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
+        """(string and a byte for its kind, row, first byte in the row's chunk, copies) of what the sort must decide on.
+
+        Row -1: a counterpart whose own bytes are decided elsewhere, so it only counts; equal ones of a batch come as one.
+        """
+        copies = batch.column("copies").to_numpy().astype(np.int64)
+        loose = self.unresolved(batch)
+        whole = np.flatnonzero(~loose)
         for row, string in zip(whole.tolist(), batch.column("chunk").take(pa.array(whole)).to_pylist(), strict=True):
-            yield string, row, 0
+            yield string + b"\0", row, 0, int(copies[row])
         which = self.opened(batch)
         if not len(which):
             return
-        length = self.length
-        c = Cells(batch, which, length)
-        for k in np.flatnonzero(in_filter(self.wanted.value, c.union, LOG2_BITS)).tolist():
-            a = int(c.place[k])
-            yield c.joined[a : a + int(c.n[k]) + length - 1], int(which[c.row[k]]), int(c.first[k])
+        c = Cells(batch, which, self.length)
+        open_ = loose[which][c.row]
+        cell = np.flatnonzero(in_filter(self.wanted.value.words, c.union, LOG2_BITS))
+        yield from self.placed(c, which, cell, np.zeros_like(cell), c.n[cell], c.union[cell], open_[cell], b"\1")
         of, inside = self.window_places(c)
-        hit = in_filter(self.windows.value, mix64(c.window[c.place[of] + inside] + ODD[3]), LOG2_BITS)
-        for k, j in zip(of[hit].tolist(), inside[hit].tolist(), strict=True):
-            a = int(c.place[k]) + j
-            yield c.joined[a : a + length], int(which[c.row[k]]), int(c.first[k]) + j
+        h = mix64(c.window[c.place[of] + inside] + ODD[3])
+        hit = in_filter(self.windows.value.words, h, LOG2_BITS)
+        of, inside, h = of[hit], inside[hit], h[hit]
+        undecided = open_[of] & ~in_filter(self.cells.value.words, c.union[of], LOG2_BITS)
+        yield from self.placed(c, which, of, inside, np.ones_like(of), h, undecided, b"\2")
+
+    def placed(self, c: Cells, which: np.ndarray, cell: np.ndarray, inside: np.ndarray, n: np.ndarray, h: np.ndarray, place: np.ndarray, kind: bytes) -> Iterator[tuple[bytes, int, int, int]]:
+        at, end, copies = c.place[cell] + inside, c.place[cell] + inside + n + self.length - 1, c.copies[cell]
+        own = np.flatnonzero(place)
+        rows, firsts = which[c.row[cell[own]]], c.first[cell[own]] + inside[own]
+        for a, b, row, first, m in zip(at[own].tolist(), end[own].tolist(), rows.tolist(), firsts.tolist(), copies[own].tolist(), strict=True):
+            yield c.joined[a:b] + kind, row, first, m
+        rest = np.flatnonzero(~place)
+        if len(rest):
+            _, k, back = np.unique(h[rest], return_index=True, return_inverse=True)
+            total = np.bincount(back, copies[rest]).astype(np.int64)
+            for a, b, m in zip(at[rest[k]].tolist(), end[rest[k]].tolist(), total.tolist(), strict=True):
+                yield c.joined[a:b] + kind, -1, 0, m
 
 
 def view_of(suspects: Suspects) -> dict:
@@ -480,10 +499,11 @@ def spans(suspects: Suspects) -> DataFrame:
         s = rebuilt()
         for whole in batches:
             for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _, _ in s.suffixes(batch) if zlib.crc32(x) % keep == 0], pa.binary())], ["s"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s.suffixes(batch)], pa.binary())], ["s"])
 
-    # distinct suffixes by a share of their hashes; at most a small multiple of SAMPLE rows
-    sample = sorted(table.mapInArrow(sampled, "s binary").distinct().limit(8 * SAMPLE).toArrow().column("s").to_pylist())
+    # of a share of the chunks; at most a small multiple of SAMPLE rows
+    part = table if keep == 1 else table.filter(F.pmod(F.xxhash64("t", "at"), F.lit(keep)) == 0)
+    sample = sorted(part.mapInArrow(sampled, "s binary").distinct().limit(8 * SAMPLE).toArrow().column("s").to_pylist())
     n = RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     splitters = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
     shared = spark.sparkContext.broadcast(splitters)
@@ -502,14 +522,14 @@ def spans(suspects: Suspects) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["range", "run"])
 
         for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                t, sizes, copies, at = (batch.column(i).to_pylist() for i in range(4))
-                for x, row, first in s.suffixes(batch):
+            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
+                t, sizes, at = (batch.column(c).to_pylist() for c in ("t", "size", "at"))
+                for x, row, first, copies in s.suffixes(batch):
                     places = held.get(x)
                     if places is None:
                         places = held[x] = Counter()
                         size += len(x) + 200
-                    places[t[row], sizes[row], at[row] + first] += copies[row]
+                    places[(t[row], sizes[row], at[row] + first) if row >= 0 else (0, 0, 0)] += copies
                 if size > 96 << 20:  # a run of bounded size
                     yield from flush()
                     held, size = {}, 0
@@ -529,8 +549,8 @@ def spans(suspects: Suspects) -> DataFrame:
                         size, first, copies = run.rest[j].tolist()
                         key = (int(run.text[j]), size, first)
                         places[key] = places.get(key, 0) + copies
-                if len(places) > 1 or sum(places.values()) > 1:
-                    found += [(*p, p[2] + len(string)) for p in places]
+                if sum(places.values()) > 1:
+                    found += [(*p, p[2] + len(string) - 1) for p in places if p[1]]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), *(pa.array([f[i] for f in found], pa.int32()) for i in (1, 2, 3))], ["t", "size", "a", "b"])
 
     return table.mapInArrow(runs, "range int, run binary").repartition("range").mapInArrow(merged, "t long, size int, a int, b int")
@@ -541,7 +561,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     if length < GRAM + 2 * CELL or length > 60_000:
         raise ValueError(f"length must be from {GRAM + 2 * CELL} to 60000")
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    table = settled(chunks(docs, text, length, repeated(anchors(docs, text, length))))
+    table = stored(chunks(docs, text, length, repeated(anchors(docs, text, length))))
     found = spans(Suspects(table, length)).groupBy("t", "size").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))
     body = F.col(text)
     keyed = docs.select(*names, F.xxhash64(body).alias("__t"), F.octet_length(body).alias("__size"))
