@@ -31,16 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_bucket, settled, texts
+from tidemark.llm.common import id_bucket, settled, sliced, texts
 
 DEPTH = 5
 FOLD, FOLDS = 1, 5
-#: Rows of a table that are broadcast at once, 16 bytes each.
+#: Rows of a table that are broadcast at once, about 16 bytes each.
 SLICE = 8_000_000
 #: Bytes of text whose strings are sorted at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Distinct words that a task holds before it passes their counts on.
-WORDS = 400_000
+WORDS = 250_000
 END = b""  # the end token; no word is empty
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,7 +93,7 @@ def counted_strings(docs: DataFrame, key: str, text: str, depth: int, fold: int,
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list = []
         rows = 0
-        for batch in batches:
+        for batch in sliced(batches):
             raws = [x.lower() for x in texts(batch, 1)]
             learn = [id_bucket(i, folds) != fold for i in batch.column(0).to_pylist()]
             for at in chunks(raws):
@@ -103,10 +103,10 @@ def counted_strings(docs: DataFrame, key: str, text: str, depth: int, fold: int,
                         codes, n = tally(strings_of(own, depth)[0])
                         parts.append((codes, n if training else np.zeros_like(n)))
                         rows += len(codes)
-            if rows > 4_000_000:
+            if rows > 1_200_000:
                 parts = [added(parts)]
                 rows = len(parts[0][0])
-                if rows > 3_000_000:
+                if rows > 800_000:
                     yield as_batch(parts.pop())
                     rows = 0
         if parts:
@@ -227,10 +227,10 @@ def log_probabilities(counts: DataFrame, depth: int) -> DataFrame:
 
 
 class Table:
-    """Values by 64-bit key, found by buckets of the key's hash."""
+    """Values by 64-bit key, found by buckets of the key's hash. Made on the driver, so that workers hold it once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(1, int(len(keys)).bit_length())
+        self.bits = max(1, int(len(keys)).bit_length() - 1)
         h = keys.view(np.uint64) * MULTIPLIER
         order = np.argsort(h)
         self.hash, self.values = h[order], values[order]
@@ -277,7 +277,7 @@ def counted_words(docs: DataFrame, key: str, text: str, fold: int, folds: int) -
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(word_hash(list(seen))), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for i, raw in zip(batch.column(0).to_pylist(), texts(batch, 1), strict=True):
                 if id_bucket(i, folds) != fold:
                     seen.update(raw.lower().split())
@@ -322,7 +322,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", de
     for i in range(slices):
         part = [words, strings] if slices == 1 else [words.filter(F.pmod("h", F.lit(slices)) == i), strings.filter(F.pmod("code", F.lit(slices)) == i)]
         w, s = part[0].select("h", "n").toArrow(), part[1].select("code", "logp").toArrow()
-        tables = (w.column("h").to_numpy(), w.column("n").to_numpy().astype(np.int32 if total["N"] < 1 << 31 else np.int64), s.column("code").to_numpy(), s.column("logp").to_numpy())
+        tables = Table(w.column("h").to_numpy(), w.column("n").to_numpy().astype(np.int32 if total["N"] < 1 << 31 else np.int64)), Table(s.column("code").to_numpy(), s.column("logp").to_numpy())
+        del w, s
         state = with_slice(state, tables, depth, slices, i)
         if i % 2 and i + 1 < slices:
             state = settled(state)
@@ -336,29 +337,28 @@ def with_slice(state: DataFrame, tables: tuple, depth: int, slices: int, own: in
     names = state.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, n, code, logp = shared.value
-        logs, strings = Logs(Table(h, n), slices, own), Table(code, logp)
+        words, strings = shared.value
+        logs = Logs(words, slices, own)
         nothing = math.log10(0.5)
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                raws = [x.lower() for x in texts(batch, 1)]
-                n_tokens, n_known, sums, score = (c.to_pylist() for c in batch.columns[2:6])
-                for at in chunks(raws):
-                    own_raws = [raws[i] for i in at]
-                    codes, starts = strings_of(own_raws, depth)
-                    values = strings.get(codes, 0.0)
-                    for i, value in zip(at, np.add.reduceat(values, starts).tolist(), strict=True):
-                        score[i] += value
-                    docs = [x.split() for x in own_raws]
-                    logs.learn(docs)
-                    get = logs.__getitem__
-                    for i, words in zip(at, docs, strict=True):
-                        found = [*map(get, words), logs[END]]
-                        if slices > 1:
-                            found = [x for x in found if x == x]
-                        n_tokens[i] += len(found)
-                        n_known[i] += len(found) - found.count(nothing)
-                        sums[i] += math.fsum(found)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), pa.array([len(x) for x in raws], pa.int64())], names)
+        for batch in sliced(batches):
+            raws = [x.lower() for x in texts(batch, 1)]
+            n_tokens, n_known, sums, score = (c.to_pylist() for c in batch.columns[2:6])
+            for at in chunks(raws):
+                own_raws = [raws[i] for i in at]
+                codes, starts = strings_of(own_raws, depth)
+                values = strings.get(codes, 0.0)
+                for i, value in zip(at, np.add.reduceat(values, starts).tolist(), strict=True):
+                    score[i] += value
+                docs = [x.split() for x in own_raws]
+                logs.learn(docs)
+                get = logs.__getitem__
+                for i, tokens in zip(at, docs, strict=True):
+                    found = [*map(get, tokens), logs[END]]
+                    if slices > 1:
+                        found = [x for x in found if x == x]
+                    n_tokens[i] += len(found)
+                    n_known[i] += len(found) - found.count(nothing)
+                    sums[i] += math.fsum(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(score, pa.float64()), pa.array([len(x) for x in raws], pa.int64())], names)
 
     return state.mapInArrow(scored, state.schema)
