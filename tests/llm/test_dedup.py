@@ -63,6 +63,17 @@ def test_suffix_dedup(spark):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]]
 
 
+def test_suffix_dedup_with_small_filters(spark):
+    random.seed(6)
+    some = lambda n: "".join(random.choice("abcdefghij ") for _ in range(n))
+    shared = [some(k) for k in (201, 205, 230, 300, 420)]
+    texts = [some(300) + x + some(250) for x in shared * 2] + [some(700) for _ in range(6)] + [some(900)] * 2 + ["ab" * 300, "", None]
+    want = list(brute(texts))
+    for log2_bits in (8, 11, 14):  # hashes that collide in full and half-full filters lose no repeat
+        for r in suffix.summary(suffix.remove_repeats(frame(spark, texts), log2_bits=log2_bits)).collect():
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], (log2_bits, r["doc_id"])
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix.remove_repeats(frame(spark, ["a"]).filter("false")).count() == 0
 

@@ -1,13 +1,15 @@
 """Removal of byte strings of ``length`` bytes that start in more than one place, by a common-prefix-aware distributed merge sort.
 
 Sorting every suffix of a corpus would move its bytes many times over. Only suffixes that may start a repeat are sorted, and they are
-found without loss:
+found without loss, but for equal 64-bit hashes of different strings:
 
 1. Every window of ``length`` bytes has an anchor: the least hash among its substrings of ``GRAM`` bytes. Equal windows have equal anchors,
    so a window whose anchor hash occurs once in the corpus is no repeat. Neighbouring windows with one anchor make a chunk.
 2. Chunks with a repeated anchor are kept. In rounds of hash counts, a chunk whose whole string is repeated becomes one suffix to sort;
    others are split into cells of ``CELL`` window starts at fixed distances from the anchor, and cells whose string isn't repeated but whose
-   common core is, into single windows. A count never overlooks a repeat; a collision only adds a suffix to the sort.
+   common core is, into single windows. A count never overlooks a repeat; a collision in a filter only adds a suffix to the sort, or has
+   a chunk or cell split that needn't be: one is taken as a whole only where a second filter, of the single hashes that hit the first,
+   shows that it is no such collision.
 3. The sort decides. Each task sorts its suffixes (cut where their windows end) into one run for each key range, front-coded: the length of the
    prefix shared with the one before, and the rest. Equal suffixes of a run are one entry with a list of places. The ranges come from a
    bounded sample of suffixes. Runs are exchanged by range and merged by a loser tree whose entries carry the length of the prefix they
@@ -15,7 +17,7 @@ found without loss:
    Only places that are still open travel; what stands for a counterpart that is decided elsewhere is a count.
 4. Places of suffixes that came up twice or more give spans of bytes, joined to their documents by the text's hash and length.
 
-Counts come back as bit filters of fixed size; a full filter lets more suffixes through to the sort and changes no result.
+Counts come back as bit filters of fixed size; full filters let more suffixes through to the sort, down to single windows, and change no result.
 
 Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; equal rows are repeats of each other; an empty
 table gives an empty result; the columns n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) are added, in place of others of these names.
@@ -27,14 +29,16 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BitFilter, hash_filter, in_filter, mix64, stored, texts
+from tidemark.llm.common import BitFilter, hash_filter, in_filter, merged_bits, mix64, stored, texts
 
 GRAM = 64
 CELL = 12
@@ -145,9 +149,47 @@ def tallied(hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
 
-def repeated(rows: DataFrame, least: int = 2) -> np.ndarray:
+def repeated(rows: DataFrame, log2_bits: int, least: int = 2) -> np.ndarray:
     """Filter of the hashes that ``rows`` (h, n) count at least twice."""
-    return hash_filter(rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h"), LOG2_BITS)
+    return hash_filter(rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h"), log2_bits)
+
+
+def told_apart(rows: DataFrame, log2_bits: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of ``repeated``, and one by other bits of the hashes that hit it and are counted less often."""
+    high = np.uint64(64 - log2_bits)
+
+    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # hashes of one bit of the filter come one after the other
+        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                h, n = np.concatenate((h, u64(batch.column(0)))), np.concatenate((n, batch.column(1).to_numpy()))
+            if not len(h):
+                continue
+            bit = h >> high
+            end = len(h) if batch is None else int(np.searchsorted(bit, bit[-1]))
+            many = n[:end] >= least
+            false = ~many & np.isin(bit[:end], bit[:end][many])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [many.sum(), false.sum()])), pa.array(np.concatenate((h[:end][many], swapped(h[:end][false]))).view(np.int64))], ["false", "h"])
+            h, n = h[end:], n[end:]
+
+    bit = F.shiftrightunsigned("h", 64 - log2_bits)
+    counted = rows.withColumn("bit", bit).repartition("bit").groupBy("bit", "h").agg(F.sum("n").alias("n")).sortWithinPartitions("bit")
+    hits = counted.select("h", "n").mapInArrow(sifted, "false boolean, h long")
+    at = F.shiftrightunsigned("h", 64 - log2_bits)
+    words = hits.groupBy("false", F.shiftrightunsigned(at, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - log2_bits}) & 63 AS int)))").alias("bits")).toArrow()
+    return tuple(merged_bits(words.filter(pc.equal(words["false"], kind)).select(["w", "bits"]).to_batches(), log2_bits) for kind in (False, True))
+
+
+def swapped(h: np.ndarray) -> np.ndarray:
+    """The halves of the hashes exchanged."""
+    return h << np.uint64(32) | h >> np.uint64(32)
+
+
+def hit(shared, hashes: np.ndarray) -> np.ndarray:
+    """Whether hashes are in a broadcast filter."""
+    words = shared.value.words
+    return in_filter(words, hashes, len(words).bit_length() + 5)
 
 
 def anchors(docs: DataFrame, text: str, length: int) -> DataFrame:
@@ -182,7 +224,7 @@ def chunks(docs: DataFrame, text: str, length: int, filter_: np.ndarray) -> Data
         for batch in batches:
             for raws, copies in grouped(texts(batch, 0), length):
                 w = Windows(raws, length)
-                which = np.flatnonzero(in_filter(shared.value.words, w.value, LOG2_BITS))
+                which = np.flatnonzero(hit(shared, w.value))
                 if not len(which):
                     continue
                 of = w.text[which]
@@ -242,17 +284,17 @@ def u64(column: pa.Array) -> np.ndarray:
 class Suspects:
     """What the rounds of counts have shown of the chunks; every filter is broadcast."""
 
-    def __init__(self, table: DataFrame, length: int):
+    def __init__(self, table: DataFrame, length: int, log2_bits: int):
         spark = table.sparkSession
         self.table, self.length = table, length
         send = lambda words: spark.sparkContext.broadcast(BitFilter(words))
-        self.whole = send(repeated(table.select(F.col("whole").alias("h"), F.col("copies").cast("long").alias("n"))))
-        self.open = send(hash_filter(self.rows(self.open_anchors).select("h").distinct(), LOG2_BITS))
-        self.cells = send(repeated(self.rows(self.cell_hashes)))
-        self.wanted = send(hash_filter(self.rows(self.wanted_hashes).select("h").distinct(), LOG2_BITS))
-        self.windows = send(repeated(self.rows(self.window_hashes)))
+        self.whole, self.not_whole = map(send, told_apart(self.rows(self.whole_hashes, "whole", "copies"), log2_bits))
+        self.open = send(hash_filter(self.rows(self.open_anchors).select("h").distinct(), log2_bits))
+        self.cells, self.not_cells = map(send, told_apart(self.rows(self.cell_hashes), log2_bits))
+        self.wanted = send(hash_filter(self.rows(self.wanted_hashes).select("h").distinct(), log2_bits))
+        self.windows = send(repeated(self.rows(self.window_hashes), log2_bits))
 
-    def rows(self, of) -> DataFrame:
+    def rows(self, of, *columns: str) -> DataFrame:
         mine = {k: v for k, v in self.__dict__.items() if k not in ("table",)}
         length = self.length
 
@@ -272,10 +314,20 @@ class Suspects:
             if held:
                 yield tallied(hashes, counts)
 
-        return self.table.mapInArrow(run, "h long, n long")
+        return self.table.select(*columns or "*").mapInArrow(run, "h long, n long")
+
+    @staticmethod
+    def whole_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+        return tallied([u64(batch.column("whole"))], [batch.column("copies").to_numpy()])
 
     def unresolved(self, batch: pa.RecordBatch) -> np.ndarray:
-        return ~in_filter(self.whole.value.words, u64(batch.column("whole")), LOG2_BITS)
+        """Chunks that aren't repeated as a whole, and those of which the filters can't tell."""
+        h = u64(batch.column("whole"))
+        return ~hit(self.whole, h) | hit(self.not_whole, swapped(h))
+
+    def same_cells(self, c: Cells) -> np.ndarray:
+        """Cells that are repeated for certain."""
+        return hit(self.cells, c.union) & ~hit(self.not_cells, swapped(c.union))
 
     @staticmethod
     def open_anchors(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -285,7 +337,7 @@ class Suspects:
 
     def opened(self, batch: pa.RecordBatch) -> np.ndarray:
         """Chunks of these anchors, repeated or not."""
-        return np.flatnonzero(in_filter(self.open.value.words, u64(batch.column("value")), LOG2_BITS))
+        return np.flatnonzero(hit(self.open, u64(batch.column("value"))))
 
     @staticmethod
     def cell_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -296,10 +348,10 @@ class Suspects:
         return tallied([c.union, c.core], [c.copies, c.copies])
 
     def looked_at(self, batch: pa.RecordBatch, which: np.ndarray, c: Cells) -> tuple[np.ndarray, np.ndarray]:
-        """Cells of chunks that aren't repeated as a whole: those that are repeated, and others with a repeated core."""
+        """Cells of unresolved chunks: those that are repeated, and others with a repeated core."""
         loose = self.unresolved(batch)[which][c.row]
-        union = in_filter(self.cells.value.words, c.union, LOG2_BITS)
-        return loose & union, loose & ~union & in_filter(self.cells.value.words, c.core, LOG2_BITS)
+        union = self.same_cells(c)
+        return loose & union, loose & ~union & hit(self.cells, c.core)
 
     @staticmethod
     def wanted_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
@@ -314,7 +366,7 @@ class Suspects:
 
     def window_places(self, c: Cells) -> tuple[np.ndarray, np.ndarray]:
         """Cells with a wanted core, window by window: cell and place of each."""
-        cells = np.flatnonzero(in_filter(self.wanted.value.words, c.core, LOG2_BITS))
+        cells = np.flatnonzero(hit(self.wanted, c.core))
         of = np.repeat(cells, c.n[cells])
         inside = np.arange(len(of)) - np.repeat(np.cumsum(c.n[cells]) - c.n[cells], c.n[cells])
         return of, inside
@@ -343,13 +395,13 @@ class Suspects:
             return
         c = Cells(batch, which, self.length)
         open_ = loose[which][c.row]
-        cell = np.flatnonzero(in_filter(self.wanted.value.words, c.union, LOG2_BITS))
+        cell = np.flatnonzero(hit(self.wanted, c.union))
         yield from self.placed(c, which, cell, np.zeros_like(cell), c.n[cell], c.union[cell], open_[cell], b"\1")
         of, inside = self.window_places(c)
         h = mix64(c.window[c.place[of] + inside] + ODD[3])
-        hit = in_filter(self.windows.value.words, h, LOG2_BITS)
-        of, inside, h = of[hit], inside[hit], h[hit]
-        undecided = open_[of] & ~in_filter(self.cells.value.words, c.union[of], LOG2_BITS)
+        again = hit(self.windows, h)
+        of, inside, h = of[again], inside[again], h[again]
+        undecided = open_[of] & ~self.same_cells(c)[of]
         yield from self.placed(c, which, of, inside, np.ones_like(of), h, undecided, b"\2")
 
     def placed(self, c: Cells, which: np.ndarray, cell: np.ndarray, inside: np.ndarray, n: np.ndarray, h: np.ndarray, place: np.ndarray, kind: bytes) -> Iterator[tuple[bytes, int, int, int]]:
@@ -565,13 +617,13 @@ def spans(suspects: Suspects) -> DataFrame:
     return table.mapInArrow(runs, "range int, run binary").repartition("range").mapInArrow(merged, "t long, size int, a int, b int")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_bits: int = LOG2_BITS) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept."""
     if length < GRAM + 2 * CELL or length > 60_000:
         raise ValueError(f"length must be from {GRAM + 2 * CELL} to 60000")
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    table = stored(chunks(docs, text, length, repeated(anchors(docs, text, length))))
-    found = spans(Suspects(table, length)).groupBy("t", "size").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))
+    table = stored(chunks(docs, text, length, repeated(anchors(docs, text, length), log2_bits)))
+    found = spans(Suspects(table, length, log2_bits)).groupBy("t", "size").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))
     body = F.col(text)
     keyed = docs.select(*names, F.xxhash64(body).alias("__t"), F.octet_length(body).alias("__size"))
     joined = keyed.join(found.withColumnsRenamed({"t": "__t", "size": "__size"}), ["__t", "__size"], "left").select(*names, "__spans")
