@@ -117,6 +117,15 @@ def test_simhash(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns == ["doc_id", "text", "n_lines", "kept"]
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    random.seed(8)
+    a, b, c, d, e = (" ".join(random.choice("abcdefghijklmnop") + str(random.randint(0, 99)) for _ in range(80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (7, a), (3, d), (None, e), (5, e), (None, None), (None, "")]
+    want = [(7, a), (None, b), (7, c), (3, d), (5, e), (None, "")]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted((i or 0, x) for i, x in want)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in connected_components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}

@@ -72,13 +72,18 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
-def grouped(rows: DataFrame, key: str, distance: int = 2, fp: str = "fp") -> DataFrame:
-    """``rows`` with ``component_id``: the smallest key that can be reached."""
+def rooted(rows: DataFrame, key: str, distance: int, fp: str) -> DataFrame:
+    """fp, __first (its smallest key) and __root, which names its component, for each distinct fingerprint of ``rows``."""
     firsts = settled(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(key).alias("__first")))
     labels = connected_components(links(firsts.select("fp"), distance))
-    rooted = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "__first", F.coalesce("root", "fp").alias("__root"))
-    smallest = rooted.groupBy("__root").agg(F.min("__first").alias("component_id"))
-    named = rooted.join(smallest, "__root").select("fp", "component_id")
+    return firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "__first", F.coalesce("root", "fp").alias("__root"))
+
+
+def grouped(rows: DataFrame, key: str, distance: int = 2, fp: str = "fp") -> DataFrame:
+    """``rows`` with ``component_id``: the smallest key that can be reached."""
+    found = rooted(rows, key, distance, fp)
+    smallest = found.groupBy("__root").agg(F.min("__first").alias("component_id"))
+    named = found.join(smallest, "__root").select("fp", "component_id")
     return rows.join(named.withColumnRenamed("fp", fp), fp)
 
 
@@ -88,12 +93,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return grouped(rows, key, distance).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_of_each(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of each component, all columns. ``named``: __key, __hash (``text_hash``) and __root of each row of ``docs``."""
+    rank = F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("k"), F.col("__hash").alias("h"))
+    # equal ids and texts are in one component, so these two name one component each
+    chosen = named.groupBy("__root").agg(F.min(rank).alias("r")).select(F.col("r.k").alias("__k"), F.col("r.h").alias("__h"))
+    hashed = docs.withColumn("__hash", text_hash(text))
+    first = hashed.join(chosen, hashed[key].eqNullSafe(chosen["__k"]) & (hashed["__hash"] == chosen["__h"]), "left_semi")
+    return first.dropDuplicates([key, "__hash"]).drop("__hash")
+
+
+def text_hash(text: str):
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 2, seed: int = 42) -> DataFrame:
-    """One row of each component, all columns: the one with the smallest key (of equal rows, any one; null keys last)."""
-    column = "__fp"
-    slim = settled(fingerprints(docs, text, words, seed, [key], column))
-    ranked = grouped(slim, key, distance, column)
-    # the first key of each component; a component of null keys keeps its null
-    chosen = ranked.select(F.col("component_id").alias("__id")).distinct()
-    first = docs.join(chosen, docs[key].eqNullSafe(chosen["__id"]), "left_semi")
-    return first.dropDuplicates([key])
+    """One row of each component, all columns: the one with the smallest key (null keys last; of equal keys, by a hash of the text; of equal rows, any one)."""
+    keyed = docs.select(F.col(key).alias("__key"), text_hash(text).alias("__hash"), F.col(text).alias("__body"))
+    slim = settled(fingerprints(keyed, "__body", words, seed, ["__key", "__hash"]))
+    roots = rooted(slim, "__key", distance, "fp").select("fp", "__root")
+    return first_of_each(docs, slim.join(roots, "fp"), key, text)
