@@ -3,7 +3,7 @@ import hashlib
 import itertools
 import random
 
-from tidemark.llm import lines, simhash, suffix
+from tidemark.llm import lines, minhash, simhash, suffix
 from tidemark.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, n_lines string, kept string"
@@ -126,6 +126,32 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted((i or 0, x) for i, x in want)
 
 
+def test_pipeline_joins_similar_documents_only(spark):
+    import corpus_pipeline
+
+    random.seed(9)
+    text = lambda n: [f"w{random.randint(0, 999)}" for _ in range(n)]
+    rows = []
+    for n in (40, 60, 90, 150, 300):
+        base = text(n)
+        for edits in range(n // 12 + 1):  # at distances on both sides of 0.8
+            w = list(base)
+            for k in random.sample(range(n), edits):
+                w[k] = f"x{len(rows)}"
+            rows.append(" ".join(w))
+    hub = text(200)
+    rows += [" ".join([*hub[:k], f"y{k}", *hub[k + 1 :]]) for k in range(0, 200, 3)]  # a bucket of over WHOLE nodes
+    rows += ["one two", "One\ttwo", "", None, rows[3].upper()]
+    sets = [minhash.shingles((x or "").encode()) for x in rows]
+    root = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    kept = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns == ["doc_id", "text", "n_lines", "kept"]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r["node"]: r["root"] for r in connected_components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}

@@ -1,0 +1,109 @@
+"""Near-duplicates by the similarity of their sets of word shingles: MinHash bands propose pairs, the texts decide.
+
+1. Rows with equal sets of shingles are merged: one node for each distinct set, named by a hash of it, with one text.
+2. ``ROWS`` least hashes make a band; each of ``BANDS`` bands puts a node into a bucket. Two sets of similarity s share a bucket with a
+   probability of 1 - (1 - s ** ROWS) ** BANDS: 0.9999 for 0.8, more above.
+3. All nodes of a bucket of ``WHOLE`` nodes at most are paired. In a larger one, each is paired with the ``NEXT`` nodes after it on a ring
+   whose order differs from bucket to bucket, so pairs grow with the nodes: a group is joined through its members, not all of its pairs are seen.
+4. Pairs meet their two texts, and only those of an exact similarity (Jaccard) of ``least`` or more join nodes to components.
+
+Defined cases: a null or empty text is the set of one empty shingle; fewer words than a shingle make one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import mix64, settled, sliced, stored, texts
+from tidemark.llm.components import connected_components
+from tidemark.llm.simhash import first_of_each, text_hash
+
+BANDS = 24
+ROWS = 5
+WHOLE = 16
+NEXT = 3
+SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
+
+
+def shingles(raw: bytes, words: int = 5) -> set[bytes]:
+    w = raw.lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+
+
+def described(raw: bytes, words: int = 5) -> tuple[int, np.ndarray]:
+    """Hash of the set, and its value in each band."""
+    import xxhash
+
+    h = np.sort(np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles(raw, words)], np.uint64))
+    least = np.full(len(SEEDS), np.iinfo(np.uint64).max)
+    for i in range(0, len(h), 2048):  # bounded, whatever the text's length
+        np.minimum(least, mix64(h[i : i + 2048, None] ^ SEEDS[None, :]).min(axis=0), out=least)
+    value = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + column)
+    return xxhash.xxh64_intdigest(h.tobytes(), 42), value
+
+
+def similarity(a: set, b: set) -> float:
+    return len(a & b) / len(a | b)
+
+
+def pairs(bands: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ``bands`` (node, v)."""
+    met = bands.groupBy("v").agg(F.collect_set("node").alias("s")).filter(F.size("s") > 1)
+    ring = met.select(F.transform(F.array_sort(F.transform("s", lambda x: F.struct(F.xxhash64(x, F.col("v")).alias("o"), x.alias("x")))), lambda y: y["x"]).alias("s"))
+    n = F.size("s")
+    # up to WHOLE nodes, the following half of the ring is all of the pairs
+    after = F.when(n <= WHOLE, F.floor(n / 2)).otherwise(NEXT).cast("int")
+    linked = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), after), lambda k: F.struct(F.col("s")[i].alias("x"), F.col("s")[F.pmod(i + k, n)].alias("y"))))
+    both = ring.select(F.explode(F.flatten(linked)).alias("p")).select("p.x", "p.y")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
+
+
+def verified(found: DataFrame, bodies: DataFrame, words: int, least: float) -> DataFrame:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            ok = [similarity(shingles(x, words), shingles(y, words)) >= least for x, y in zip(texts(batch, 2), texts(batch, 3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    one = bodies.select(F.col("node").alias("a"), F.col("body").alias("x"))
+    other = bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
+    return found.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def rooted(docs: DataFrame, key: str, text: str, words: int, least: float) -> DataFrame:
+    """__key, __hash and __root for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            got = [described(x, words) for x in texts(batch, 2)]
+            nodes = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array([g[1].tobytes() for g in got], pa.binary())], ["__key", "__hash", "node", "bands"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    keyed = docs.select(F.col(key).alias("__key"), text_hash(text).alias("__hash"), F.col(text).alias("__body"))
+    slim = stored(keyed.mapInArrow(run, f"__key {kind}, __hash long, node long, bands binary"))
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 4096):
+            v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(v)], ["node", "v"])
+
+    distinct = slim.groupBy("node").agg(F.first("bands").alias("bands"), F.min("__hash").alias("h"))
+    found = settled(pairs(distinct.select("node", "bands").mapInArrow(unpacked, "node long, v long")))
+    wanted = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+    # one text for each set that is in a pair
+    hashes = distinct.select("node", "h").join(wanted, "node")
+    bodies = stored(docs.select(text_hash(text).alias("h"), F.col(text).alias("body")).join(hashes, "h").dropDuplicates(["node"]).select("node", "body"))
+    labels = connected_components(settled(verified(found, bodies, words, least))).withColumnsRenamed({"node": "n", "root": "r"})
+    return slim.join(labels, slim["node"] == labels["n"], "left").select("__key", "__hash", F.coalesce("r", "node").alias("__root"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each component, all columns: the one with the smallest key, as ``simhash.first_of_each`` chooses."""
+    return first_of_each(docs, rooted(docs, key, text, words, least), key, text)
