@@ -70,8 +70,34 @@ def test_suffix_dedup_with_small_filters(spark):
     texts = [some(300) + x + some(250) for x in shared * 2] + [some(700) for _ in range(6)] + [some(900)] * 2 + ["ab" * 300, "", None]
     want = list(brute(texts))
     for log2_bits in (8, 11, 14):  # hashes that collide in full and half-full filters lose no repeat
-        for r in suffix.summary(suffix.remove_repeats(frame(spark, texts), log2_bits=log2_bits)).collect():
-            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], (log2_bits, r["doc_id"])
+        for hot in (1, 3, 4096):  # all, some or no anchors have their chunks split into windows
+            for r in suffix.summary(suffix.remove_repeats(frame(spark, texts), log2_bits=log2_bits, hot=hot)).collect():
+                assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], (log2_bits, r["doc_id"])
+
+
+def test_reaches_of_chunks():
+    random.seed(3)
+    for _ in range(300):
+        n, length = random.randint(1, 9), random.randint(2, 9)
+        chunks = sorted({("".join(random.choice("ab") for _ in range(random.randint(1, 7))).encode(), "".join(random.choice("ab") for _ in range(random.randint(0, 6))).encode()) for _ in range(n)})
+        after, before = [c[0] for c in chunks], [c[1] for c in chunks]
+        shared = [0, *(suffix.common(a, b, 0) for a, b in itertools.pairwise(after))]
+        want = []
+        for i, (a, b) in enumerate(chunks):
+            found = [(suffix.common(b, y, 0), suffix.common(a, x, 0)) for j, (x, y) in enumerate(chunks) if j != i]
+            found = [f for f in found if sum(f) >= length]
+            want.append((max(f[0] for f in found), max(f[1] for f in found)) if found else (0, 0))
+        assert suffix.reaches(after, before, shared, length) == want
+
+
+def test_suffix_dedup_of_long_texts_and_odd_bytes(spark):
+    random.seed(11)
+    some = lambda n: "".join(random.choice("abc\0\x01 é") for _ in range(n))
+    p = some(700)
+    texts = [some(200) + p + some(900), p[:300] + some(40) + p[250:], "\0" * 700, some(100) + "\0" * 260, p * 3, "z" * 6000, some(4000)]
+    want = list(brute(texts))
+    for r in suffix.summary(suffix.remove_repeats(frame(spark, texts, 2), piece=333)).collect():  # pieces that cut chunks
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
 
 
 def test_suffix_dedup_of_nothing(spark):
@@ -84,7 +110,7 @@ def test_loser_tree():
     for _ in range(7):
         strings = sorted({"".join(random.choice("ab") for _ in range(random.randint(0, 90))).encode() for _ in range(60)})
         everything += strings
-        runs.append(suffix.Run(suffix.packed_run(strings, [[(1, 2, 3, 4)]] * len(strings))))
+        runs.append(suffix.Run(suffix.packed_run(strings)))
     out = list(suffix.LoserTree(runs))
     assert [s for _, s, _, _ in out] == sorted(everything)
     for (_, a, _, _), (shared, b, _, _) in itertools.pairwise(out):

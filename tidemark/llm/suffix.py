@@ -1,73 +1,79 @@
 """Removal of byte strings of ``length`` bytes that start in more than one place, by a common-prefix-aware distributed merge sort.
 
-Sorting every suffix of a corpus would move its bytes many times over. Only suffixes that may start a repeat are sorted, and they are
-found without loss, but for equal 64-bit hashes of different strings:
-
-1. Every window of ``length`` bytes has an anchor: the least hash among its substrings of ``GRAM`` bytes. Equal windows have equal anchors,
-   so a window whose anchor hash occurs once in the corpus is no repeat. Neighbouring windows with one anchor make a chunk.
-2. Chunks with a repeated anchor are kept. In rounds of hash counts, a chunk whose whole string is repeated becomes one suffix to sort;
-   others are split into cells of ``CELL`` window starts at fixed distances from the anchor, and cells whose string isn't repeated but whose
-   common core is, into single windows. A count never overlooks a repeat; a collision in a filter only adds a suffix to the sort, or has
-   a chunk or cell split that needn't be: one is taken as a whole only where a second filter, of the single hashes that hit the first,
-   shows that it is no such collision.
-3. The sort decides. Each task sorts its suffixes (cut where their windows end) into one run for each key range, front-coded: the length of the
-   prefix shared with the one before, and the rest. Equal suffixes of a run are one entry with a list of places. The ranges come from a
-   bounded sample of suffixes. Runs are exchanged by range and merged by a loser tree whose entries carry the length of the prefix they
-   share with the last winner: a longer one wins without looking, and of equals only what follows that prefix is compared.
-   Only places that are still open travel; what stands for a counterpart that is decided elsewhere is a count.
-4. Places of suffixes that came up twice or more give spans of bytes, joined to their documents by the text's hash and length.
-
-Counts come back as bit filters of fixed size; full filters let more suffixes through to the sort, down to single windows, and change no result.
-
-Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; equal rows are repeats of each other; an empty
-table gives an empty result; the columns n_bytes, n_removed, n_spans, kept (binary: the bytes that stay) are added, in place of others of these names.
+Sorting every suffix of a corpus would move its bytes many times over. So suffixes are sorted at anchors only, which any two equal
+windows of ``length`` bytes share:
+
+1. Texts that occur more than once are removed whole, and only one copy of each goes on. Copies are told by 128 bits of hashes.
+2. The anchor of a window is the first of its substrings of ``GRAM`` bytes with the least hash. Equal windows have equal anchors at
+   equal distances. Neighbouring windows with one anchor place make a chunk. Chunks whose anchor hash occurs once in the corpus hold
+   no repeat; a bit filter of the other hashes lets the rest pass (and some more, which costs time but changes nothing).
+3. A chunk becomes one string: its bytes from the anchor on, then those before the anchor backwards. Each task sorts its strings into a
+   run, front-coded: the length of the prefix shared with the one before, and the rest. Equal strings are one entry; the places stay
+   behind in a written table, by entry. Runs are cut into key ranges (from a bounded sample), exchanged, and merged by a loser tree whose
+   entries carry the length of the prefix they share with the last winner: a longer one wins without looking, and of equals only what
+   follows that prefix is compared.
+4. Shared lengths decide. Two chunks with ``l`` equal bytes before their anchors and ``r`` from there on share a window if and only if
+   ``l + r >= length``; then all ``l + r`` bytes are repeated. Merged entries of one anchor form a tree of their common prefixes; in each
+   of its classes (all share ``r`` bytes) neighbours in the order of what precedes the anchor give each member its greatest ``l``.
+   So each entry gets its widest reach to both sides without a look at all pairs of its group.
+5. An anchor that occurs more than ``HOT`` times has its chunks split into single windows, of which those with a repeated hash are
+   sorted like the rest: there, strings that meet are repeated. A group of chunks thus never has more than ``HOT`` members, and an
+   entry comes once from each run, however often the run saw it.
+6. Reaches go back to the places, as spans of bytes of texts. Only documents whose hash is among those of texts with spans (a bit filter
+   again) are joined to them; the others pass unshuffled.
+
+A full filter sends more strings to the sort and changes no result. ``docs`` is read several times and must give the same rows each time.
+
+Defined cases: a null text is empty; texts shorter than ``length`` lose nothing; equal rows are repeats of each other; long texts are
+worked on in pieces of ``PIECE`` windows; an empty table gives an empty result; the columns n_bytes, n_removed, n_spans, kept (binary:
+the bytes that stay) are added, in place of others of these names; a null or repeated key is a column like any other.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from bisect import bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BitFilter, hash_filter, in_filter, merged_bits, mix64, stored, texts
+from tidemark.llm.common import BitFilter, hash_filter, in_filter, merged_bits, mix64, sliced, stored, texts
 
 GRAM = 64
-CELL = 12
 LOG2_BITS = 27
+#: Occurrences of an anchor from which its chunks are split.
+HOT = 4096
 #: Bytes of text that are hashed together: the arrays stay in the processor's cache.
 TOGETHER = 1 << 18
-#: Suffixes of which key ranges are made.
-SAMPLE = 20_000
-RANGES_A_PARTITION = 4
+#: Windows of a text that are worked on at once.
+PIECE = 1 << 20
+#: Texts of which key ranges are made; they decide balance only.
+SAMPLE = 4_000
+RANGES_A_PARTITION = 2
+#: Bytes of strings, with their places, that make a run.
+RUN = 64 << 20
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D)]
 
 
-def rolling(b: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
-    """Hashes of all substrings of these lengths, by doubling."""
-    need = max(lengths)
+def rolling(b: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all substrings of n bytes, by doubling."""
     powers = [(b.astype(np.uint64) + np.uint64(1)) * ODD[8]]
-    while 2 << (len(powers) - 1) <= need:
+    while 2 << (len(powers) - 1) <= n:
         k, p = 1 << (len(powers) - 1), powers[-1]
         powers.append(p[:-k] * ODD[len(powers) - 1] + p[k:] if len(p) > k else p[:0])
-    out = []
-    for n in lengths:
-        h, at, size = None, 0, max(0, len(b) - n + 1)
-        for k in range(len(powers) - 1, -1, -1):
-            if n >> k & 1:
-                part = powers[k][at : at + size]
-                h = part if h is None else h * ODD[7] + part
-                at += 1 << k
-        out.append(mix64(h[:size]))
-    return out
+    h, at, size = None, 0, max(0, len(b) - n + 1)
+    for k in range(len(powers) - 1, -1, -1):
+        if n >> k & 1:
+            part = powers[k][at : at + size]
+            h = part if h is None else h * ODD[7] + part
+            at += 1 << k
+    return mix64(h[:size])
 
 
 def sliding(a: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
@@ -78,348 +84,128 @@ def sliding(a: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
     return of(a[: len(a) - (width - k)], a[width - k :]) if width > k else a
 
 
-class Windows:
-    """Chunks of the windows of some texts, all at least ``length`` bytes long."""
+class Chunks:
+    """Chunks of some pieces of texts: first window, number of windows, place and hash of the anchor, and the piece."""
 
     def __init__(self, raws: list[bytes], length: int):
         self.joined = b"".join(raws)
         b = np.frombuffer(self.joined, np.uint8)
         sizes = np.array([len(x) for x in raws], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
-        self.gram, self.window = rolling(b, (GRAM, length))
+        gram = rolling(b, GRAM)
         width = length - GRAM + 1
-        low = sliding(self.gram, width)
+        low = sliding(gram, width)
         begins = np.zeros(len(low), bool)
         begins[0] = True
         begins[1:] = low[1:] != low[:-1]
         begins[self.starts] = True
-        own = np.zeros(len(low) + 1, np.int64)  # inside a text?
-        np.add.at(own, self.starts, 1)
+        own = np.zeros(len(low) + 1, np.int8)  # 1 where windows that lie in one piece begin, -1 after the last of them
+        own[self.starts] += 1
         np.add.at(own, np.minimum(self.starts + sizes - length + 1, len(low)), -1)
-        own = np.cumsum(own)[:-1] > 0
-        begins[1:] |= own[1:] != own[:-1]
+        begins |= own[:-1] != 0
         at = np.flatnonzero(begins)
-        n = np.diff(np.concatenate((at, [len(low)])))
-        keep = own[at]
-        at, n = at[keep], n[keep]
-        if len(n) and n.max() > width:  # periodic text: one value for long; cut
-            parts = -(-n // width)
-            first = np.repeat(at, parts)
-            k = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
-            n = np.minimum(np.repeat(n, parts) - k * width, width)
-            at = first + k * width
-        self.at, self.n, self.value = at, n, low[at]
-        # a chunk with more than one place of its anchor may hold equal windows itself: it counts twice
+        n = np.diff(np.append(at, len(low)))
+        inside = np.cumsum(own[at], dtype=np.int64) > 0
+        at, n = at[inside], n[inside]
+        value = low[at]
+        # where an anchor hash is found in its chunk
         edge = np.zeros(width - 1, np.uint64)
-        places = np.flatnonzero(sliding(np.concatenate((edge, low, edge)), width, np.maximum) == self.gram)
-        again = np.zeros(len(places) + 1, np.int64)
-        again[1:-1] = np.cumsum((self.gram[places[1:]] == self.gram[places[:-1]]) & (np.diff(places) <= width)) if len(places) > 1 else 0
-        again[-1] = again[-2]
-        lo = np.searchsorted(places, at)
-        hi = np.maximum(np.searchsorted(places, at + n - 1 + width, "left") - 1, lo)
-        self.times = 1 + (again[hi] > again[lo])
-        self.text = np.searchsorted(self.starts, at, "right") - 1
-
-    def whole(self, which: np.ndarray) -> np.ndarray:
-        return string_hash(self.window, self.at[which], self.n[which])
-
-
-def string_hash(window: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Hash of the strings that n windows from ``at`` on cover: of their first and last windows, which overlap."""
-    return mix64(window[at] * ODD[0] + window[at + n - 1] * ODD[1] + n.astype(np.uint64))
-
-
-def grouped(raws: list[bytes], length: int) -> Iterator[tuple[list[bytes], list[int]]]:
-    """Distinct long texts with their numbers of copies, about TOGETHER bytes at a time."""
-    held, copies, size = [], [], 0
-    for x, n in Counter(x for x in raws if len(x) >= length).items():
-        held.append(x)
-        copies.append(n)
-        size += len(x)
-        if size >= TOGETHER:
-            yield held, copies
-            held, copies, size = [], [], 0
+        places = np.flatnonzero(sliding(np.concatenate((edge, low, edge)), width, np.maximum) == gram)
+        known, code = np.unique(gram[places], return_inverse=True)
+        span = np.int64(len(b) + 1)
+        found = np.sort(code.astype(np.int64) * span + places)
+        base = np.searchsorted(known, value).astype(np.int64) * span
+        lo, hi = np.searchsorted(found, base + at), np.searchsorted(found, base + at + n - 1 + width)
+        one = hi - lo == 1
+        parts = [(at[one], n[one], found[lo[one]] - base[one], value[one])]
+        many = np.flatnonzero(~one)
+        if len(many):  # the first place in each window
+            row = np.repeat(many, n[many])
+            window = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n[many]) - n[many], n[many])
+            place = found[np.searchsorted(found, base[row] + window)] - base[row]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
+            k = np.flatnonzero(new)
+            parts.append((window[k], np.diff(np.append(k, len(row))), place[k], value[row[k]]))
+        self.at, self.n, self.place, self.value = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def piece(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, "right") - 1
+
+    def windows(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """First bytes of the windows of some chunks, and hashes of the windows."""
+        n = self.n[which]
+        first = np.repeat(self.at[which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if not len(first):
+            return first, np.zeros(0, np.uint64)
+        return first, mix64(rolling(np.frombuffer(self.joined, np.uint8), length)[first] + ODD[3])
+
+
+def pieces(raws: list[bytes], length: int, most: int = PIECE) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """Pieces of ``most`` windows of long enough texts, about TOGETHER bytes at a time, with their texts' numbers and their offsets in those."""
+    held, of, offsets, size = [], [], [], 0
+    for i, x in enumerate(raws):
+        for o in range(0, len(x) - length + 1, most):
+            held.append(x[o : o + most + length - 1])
+            of.append(i)
+            offsets.append(o)
+            size += len(held[-1])
+            if size >= TOGETHER:
+                yield held, of, offsets
+                held, of, offsets, size = [], [], [], 0
     if held:
-        yield held, copies
-
-
-def tallied(hashes: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-    h, at = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
-    n = np.bincount(at, np.concatenate(counts), len(h)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
-
-
-def repeated(rows: DataFrame, log2_bits: int, least: int = 2) -> np.ndarray:
-    """Filter of the hashes that ``rows`` (h, n) count at least twice."""
-    return hash_filter(rows.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h"), log2_bits)
-
-
-def told_apart(rows: DataFrame, log2_bits: int, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """The filter of ``repeated``, and one by other bits of the hashes that hit it and are counted less often."""
-    high = np.uint64(64 - log2_bits)
-
-    def sifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # hashes of one bit of the filter come one after the other
-        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                h, n = np.concatenate((h, u64(batch.column(0)))), np.concatenate((n, batch.column(1).to_numpy()))
-            if not len(h):
-                continue
-            bit = h >> high
-            end = len(h) if batch is None else int(np.searchsorted(bit, bit[-1]))
-            many = n[:end] >= least
-            false = ~many & np.isin(bit[:end], bit[:end][many])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([False, True], [many.sum(), false.sum()])), pa.array(np.concatenate((h[:end][many], swapped(h[:end][false]))).view(np.int64))], ["false", "h"])
-            h, n = h[end:], n[end:]
-
-    bit = F.shiftrightunsigned("h", 64 - log2_bits)
-    counted = rows.withColumn("bit", bit).repartition("bit").groupBy("bit", "h").agg(F.sum("n").alias("n")).sortWithinPartitions("bit")
-    hits = counted.select("h", "n").mapInArrow(sifted, "false boolean, h long")
-    at = F.shiftrightunsigned("h", 64 - log2_bits)
-    words = hits.groupBy("false", F.shiftrightunsigned(at, 6).alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(h, {64 - log2_bits}) & 63 AS int)))").alias("bits")).toArrow()
-    return tuple(merged_bits(words.filter(pc.equal(words["false"], kind)).select(["w", "bits"]).to_batches(), log2_bits) for kind in (False, True))
+        yield held, of, offsets
 
 
-def swapped(h: np.ndarray) -> np.ndarray:
-    """The halves of the hashes exchanged."""
-    return h << np.uint64(32) | h >> np.uint64(32)
+def tallied(hashes: list[np.ndarray]) -> pa.RecordBatch:
+    h, n = np.unique(np.concatenate(hashes), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def hit(shared, hashes: np.ndarray) -> np.ndarray:
-    """Whether hashes are in a broadcast filter."""
-    words = shared.value.words
-    return in_filter(words, hashes, len(words).bit_length() + 5)
+def counts(body: DataFrame, length: int, piece: int, hashes) -> DataFrame:
+    """(h, n): hashes that ``hashes`` makes of chunks, with how often each occurs."""
 
-
-def anchors(docs: DataFrame, text: str, length: int) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, held = [], [], 0
-        for batch in batches:
-            for raws, copies in grouped(texts(batch, 0), length):
-                w = Windows(raws, length)
-                hashes.append(w.value)
-                counts.append(np.array(copies, np.int64)[w.text] * w.times)
-                held += len(w.value)
-                if held > 2_000_000:
-                    yield tallied(hashes, counts)
-                    hashes, counts, held = [], [], 0
-        if held:
-            yield tallied(hashes, counts)
-
-    return docs.select(text).mapInArrow(found, "h long, n long")
-
-
-CHUNK = "t long, size int, copies int, at int, n int, value long, whole long, chunk binary"
+        held, size = [], 0
+        for batch in sliced(batches, 1024):
+            for raws, _, _ in pieces(texts(batch, 0), length, piece):
+                held.append(hashes(Chunks(raws, length)))
+                size += len(held[-1])
+                if size > 2_000_000:  # counted together before the shuffle
+                    yield tallied(held)
+                    held, size = [], 0
+        if size:
+            yield tallied(held)
 
+    return body.select("body").mapInArrow(found, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
-def chunks(docs: DataFrame, text: str, length: int, filter_: np.ndarray) -> DataFrame:
-    """Chunks whose anchor is in the filter."""
-    shared = docs.sparkSession.sparkContext.broadcast(BitFilter(filter_))
-    names = [c.split()[0] for c in CHUNK.split(", ")]
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for raws, copies in grouped(texts(batch, 0), length):
-                w = Windows(raws, length)
-                which = np.flatnonzero(hit(shared, w.value))
-                if not len(which):
-                    continue
-                of = w.text[which]
-                needed = {int(i): xxhash.xxh64_intdigest(raws[i], 42) for i in np.unique(of)}
-                t = np.array([needed[i] for i in of.tolist()], np.uint64).view(np.int64)
-                at, n = w.at[which], w.n[which]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(t),
-                        pa.array(np.array([len(x) for x in raws], np.int32)[of]),
-                        pa.array(np.array(copies, np.int32)[of]),
-                        pa.array((at - w.starts[of]).astype(np.int32)),
-                        pa.array(n.astype(np.int32)),
-                        pa.array(w.value[which].view(np.int64)),
-                        pa.array(w.whole(which).view(np.int64)),
-                        pa.array([w.joined[a : a + k + length - 1] for a, k in zip(at.tolist(), n.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names,
-                )
-
-    return docs.select(text).mapInArrow(found, CHUNK)
-
-
-class Cells:
-    """Cells of some chunks: runs of windows with one anchor place, the first in the window, and one quotient by CELL of their distance to it."""
-
-    def __init__(self, batch: pa.RecordBatch, which: np.ndarray, length: int):
-        column = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        strings = column["chunk"].take(pa.array(which)).to_pylist()
-        self.joined = b"".join(strings)
-        base = np.concatenate(([0], np.cumsum([len(x) for x in strings])))[:-1].astype(np.int64)
-        n = column["n"].to_numpy()[which].astype(np.int64)
-        self.window, core, gram = rolling(np.frombuffer(self.joined, np.uint8), (length, length - CELL + 1, GRAM))
-        row = np.repeat(np.arange(len(which)), n)
-        start = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)  # of each window in its chunk
-        value = u64(column["value"])[which]
-        owner = np.searchsorted(base, np.arange(len(gram)), "right") - 1
-        occurs = np.flatnonzero(gram == value[owner])
-        anchor = occurs[np.searchsorted(occurs, base[row] + start)] - base[row]
-        quotient = (anchor - start) // CELL
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1]) | (quotient[1:] != quotient[:-1])
-        at = np.flatnonzero(new)
-        #: of each cell: its row in ``which``, first window in the chunk, windows, and place of that in the joined chunks
-        self.row, self.first, self.n = row[at], start[at], np.diff(np.concatenate((at, [len(row)])))
-        self.place = base[self.row] + self.first
-        self.union = string_hash(self.window, self.place, self.n)
-        # what all windows of a full cell share; it lies in every one of them
-        self.core = mix64(core[self.place + anchor[at] - quotient[at] * CELL - self.first] + ODD[2])
-        self.copies = column["copies"].to_numpy()[which].astype(np.int64)[self.row]
-
-
-def u64(column: pa.Array) -> np.ndarray:
-    return column.to_numpy().view(np.uint64)
-
-
-class Suspects:
-    """What the rounds of counts have shown of the chunks; every filter is broadcast."""
-
-    def __init__(self, table: DataFrame, length: int, log2_bits: int):
-        spark = table.sparkSession
-        self.table, self.length = table, length
-        send = lambda words: spark.sparkContext.broadcast(BitFilter(words))
-        self.whole, self.not_whole = map(send, told_apart(self.rows(self.whole_hashes, "whole", "copies"), log2_bits))
-        self.open = send(hash_filter(self.rows(self.open_anchors).select("h").distinct(), log2_bits))
-        self.cells, self.not_cells = map(send, told_apart(self.rows(self.cell_hashes), log2_bits))
-        self.wanted = send(hash_filter(self.rows(self.wanted_hashes).select("h").distinct(), log2_bits))
-        self.windows = send(repeated(self.rows(self.window_hashes), log2_bits))
-
-    def rows(self, of, *columns: str) -> DataFrame:
-        mine = {k: v for k, v in self.__dict__.items() if k not in ("table",)}
-        length = self.length
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            view = Suspects.__new__(Suspects)
-            view.__dict__.update(mine)
-            hashes, counts, held = [], [], 0
-            for whole in batches:
-                for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                    part = of(view, batch, length)
-                    hashes.append(u64(part.column(0)))
-                    counts.append(part.column(1).to_numpy())
-                    held += part.num_rows
-                    if held > 1_000_000:  # counted together before the shuffle
-                        yield tallied(hashes, counts)
-                        hashes, counts, held = [], [], 0
-            if held:
-                yield tallied(hashes, counts)
-
-        return self.table.select(*columns or "*").mapInArrow(run, "h long, n long")
-
-    @staticmethod
-    def whole_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-        return tallied([u64(batch.column("whole"))], [batch.column("copies").to_numpy()])
+def anchor_filters(body: DataFrame, length: int, piece: int, log2_bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filters of the anchors that occur at least twice, and of those that occur more than ``hot`` times."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - log2_bits}) & 63 AS int))")
+    again = counts(body, length, piece, lambda c: c.value).filter("n > 1").groupBy(F.shiftrightunsigned("h", 64 - log2_bits + 6).alias("w"))
+    words = again.agg(F.bit_or(bit).alias("bits"), F.bit_or(F.when(F.col("n") > hot, bit).otherwise(F.lit(0).cast("long"))).alias("hot")).toArrow()
+    return merged_bits(words.select(["w", "bits"]).to_batches(), log2_bits), merged_bits(words.select(["w", "hot"]).to_batches(), log2_bits)
 
-    def unresolved(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Chunks that aren't repeated as a whole, and those of which the filters can't tell."""
-        h = u64(batch.column("whole"))
-        return ~hit(self.whole, h) | hit(self.not_whole, swapped(h))
 
-    def same_cells(self, c: Cells) -> np.ndarray:
-        """Cells that are repeated for certain."""
-        return hit(self.cells, c.union) & ~hit(self.not_cells, swapped(c.union))
+class Shared:
+    """A broadcast filter."""
 
-    @staticmethod
-    def open_anchors(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-        """Anchors of chunks that aren't repeated as a whole."""
-        h = u64(batch.column("value"))[self.unresolved(batch)]
-        return tallied([h], [np.ones(len(h))])
+    def __init__(self, spark, words: np.ndarray):
+        self.shared = spark.sparkContext.broadcast(BitFilter(words))
 
-    def opened(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Chunks of these anchors, repeated or not."""
-        return np.flatnonzero(hit(self.open, u64(batch.column("value"))))
+    def hit(self, hashes: np.ndarray) -> np.ndarray:
+        words = self.shared.value.words
+        return in_filter(words, hashes, len(words).bit_length() + 5)
 
-    @staticmethod
-    def cell_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-        which = self.opened(batch)
-        if not len(which):
-            return tallied([], [])
-        c = Cells(batch, which, length)
-        return tallied([c.union, c.core], [c.copies, c.copies])
-
-    def looked_at(self, batch: pa.RecordBatch, which: np.ndarray, c: Cells) -> tuple[np.ndarray, np.ndarray]:
-        """Cells of unresolved chunks: those that are repeated, and others with a repeated core."""
-        loose = self.unresolved(batch)[which][c.row]
-        union = self.same_cells(c)
-        return loose & union, loose & ~union & hit(self.cells, c.core)
+    def column(self, column: str) -> Column:
+        """Whether a column of signed hashes is in the filter. Only that column goes to Python."""
 
-    @staticmethod
-    def wanted_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-        """Strings of the former and cores of the latter: what their counterparts are found by."""
-        which = self.opened(batch)
-        if not len(which):
-            return tallied([], [])
-        c = Cells(batch, which, length)
-        same, part = self.looked_at(batch, which, c)
-        h = np.concatenate((c.union[same], c.core[part]))
-        return tallied([h], [np.ones(len(h))])
-
-    def window_places(self, c: Cells) -> tuple[np.ndarray, np.ndarray]:
-        """Cells with a wanted core, window by window: cell and place of each."""
-        cells = np.flatnonzero(hit(self.wanted, c.core))
-        of = np.repeat(cells, c.n[cells])
-        inside = np.arange(len(of)) - np.repeat(np.cumsum(c.n[cells]) - c.n[cells], c.n[cells])
-        return of, inside
+        @F.arrow_udf("boolean")
+        def hit(h: pa.Array) -> pa.Array:
+            return pa.array(self.hit(h.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    @staticmethod
-    def window_hashes(self, batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-        which = self.opened(batch)
-        if not len(which):
-            return tallied([], [])
-        c = Cells(batch, which, length)
-        of, inside = self.window_places(c)
-        return tallied([mix64(c.window[c.place[of] + inside] + ODD[3])], [c.copies[of]])
-
-    def suffixes(self, batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int, int]]:
-        """(string and a byte for its kind, row, first byte in the row's chunk, copies) of what the sort must decide on.
-
-        Row -1: a counterpart whose own bytes are decided elsewhere, so it only counts; equal ones of a batch come as one.
-        """
-        copies = batch.column("copies").to_numpy().astype(np.int64)
-        loose = self.unresolved(batch)
-        whole = np.flatnonzero(~loose)
-        for row, string in zip(whole.tolist(), batch.column("chunk").take(pa.array(whole)).to_pylist(), strict=True):
-            yield string + b"\0", row, 0, int(copies[row])
-        which = self.opened(batch)
-        if not len(which):
-            return
-        c = Cells(batch, which, self.length)
-        open_ = loose[which][c.row]
-        cell = np.flatnonzero(hit(self.wanted, c.union))
-        yield from self.placed(c, which, cell, np.zeros_like(cell), c.n[cell], c.union[cell], open_[cell], b"\1")
-        of, inside = self.window_places(c)
-        h = mix64(c.window[c.place[of] + inside] + ODD[3])
-        again = hit(self.windows, h)
-        of, inside, h = of[again], inside[again], h[again]
-        undecided = open_[of] & ~self.same_cells(c)[of]
-        yield from self.placed(c, which, of, inside, np.ones_like(of), h, undecided, b"\2")
-
-    def placed(self, c: Cells, which: np.ndarray, cell: np.ndarray, inside: np.ndarray, n: np.ndarray, h: np.ndarray, place: np.ndarray, kind: bytes) -> Iterator[tuple[bytes, int, int, int]]:
-        at, end, copies = c.place[cell] + inside, c.place[cell] + inside + n + self.length - 1, c.copies[cell]
-        own = np.flatnonzero(place)
-        rows, firsts = which[c.row[cell[own]]], c.first[cell[own]] + inside[own]
-        for a, b, row, first, m in zip(at[own].tolist(), end[own].tolist(), rows.tolist(), firsts.tolist(), copies[own].tolist(), strict=True):
-            yield c.joined[a:b] + kind, row, first, m
-        rest = np.flatnonzero(~place)
-        if len(rest):
-            _, k, back = np.unique(h[rest], return_index=True, return_inverse=True)
-            total = np.bincount(back, copies[rest]).astype(np.int64)
-            for a, b, m in zip(at[rest[k]].tolist(), end[rest[k]].tolist(), total.tolist(), strict=True):
-                yield c.joined[a:b] + kind, -1, 0, m
-
-
-def view_of(suspects: Suspects) -> dict:
-    return {k: v for k, v in suspects.__dict__.items() if k != "table"}
+        return hit(column)
 
 
 def common(a: bytes, b: bytes, at: int) -> int:
@@ -434,8 +220,28 @@ def common(a: bytes, b: bytes, at: int) -> int:
     return n
 
 
-def packed_run(strings: list[bytes], places: list[list[tuple[int, int, int, int]]]) -> bytes:
-    """A sorted run, front-coded: shared lengths, lengths, rests, and the places (text, size, first byte, copies) of each."""
+CHUNK, WINDOW = b"\0", b"\1"
+END = b"\0\0"
+
+
+def written(after: bytes, before: bytes) -> bytes:
+    """A chunk as one string that sorts by what follows the anchor's first byte, a prefix first, then by what precedes it, backwards."""
+    return CHUNK + after.replace(b"\0", b"\0\xff") + END + before[::-1]
+
+
+def read(string: bytes) -> tuple[bytes, bytes]:
+    """What follows the anchor's first byte, and what precedes it, backwards."""
+    k = string.index(END, 1)
+    return string[1:k].replace(b"\0\xff", b"\0"), string[k + 2 :]
+
+
+def group_of(string: bytes) -> bytes:
+    """Strings that must meet in one task: those of one anchor, or equal windows."""
+    return string[: GRAM + 1] if string[:1] == CHUNK and END[:1] not in string[1 : GRAM + 1] else string if string[:1] == WINDOW else CHUNK + read(string)[0][:GRAM].replace(b"\0", b"\0\xff")
+
+
+def packed_run(strings: list[bytes], many: np.ndarray | None = None) -> bytes:
+    """A sorted run, front-coded: shared lengths, lengths, whether an entry has several places, rests."""
     before = b""
     shared, rests = [], []
     for s in strings:
@@ -443,26 +249,19 @@ def packed_run(strings: list[bytes], places: list[list[tuple[int, int, int, int]
         shared.append(k)
         rests.append(s[k:])
         before = s
-    flat = [p for ps in places for p in ps]
-    parts = [np.array(shared, "<u2"), np.array([len(s) for s in strings], "<u2"), np.array([len(ps) for ps in places], "<u4"), np.array([p[0] for p in flat], "<i8"), np.array([p[1:] for p in flat], "<i4").reshape(-1, 3)]
-    return zlib.compress(np.array([len(strings), len(flat)], "<u4").tobytes() + b"".join(p.tobytes() for p in parts) + b"".join(rests), 1)
+    return zlib.compress(np.array([len(strings)], "<u4").tobytes() + np.array(shared, "<u4").tobytes() + np.array([len(s) for s in strings], "<u4").tobytes() + (np.zeros(len(strings), bool) if many is None else many).tobytes() + b"".join(rests), 1)
 
 
 class Run:
     """Reads a front-coded run; holds one string at a time."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, blob: bytes, name: int = 0):
         raw = zlib.decompress(blob)
-        n, m = np.frombuffer(raw, "<u4", 2)
-        n, m, at = int(n), int(m), 8
-        self.shared = np.frombuffer(raw, "<u2", n, at).tolist()
-        self.size = np.frombuffer(raw, "<u2", n, at + 2 * n).tolist()
-        counts = np.frombuffer(raw, "<u4", n, at + 4 * n).astype(np.int64)
-        at += 8 * n
-        self.text = np.frombuffer(raw, "<i8", m, at)
-        self.rest = np.frombuffer(raw, "<i4", 3 * m, at + 8 * m).reshape(-1, 3)
-        self.place = np.concatenate(([0], np.cumsum(counts))).tolist()
-        self.at, self.raw = at + 20 * m, raw
+        n = int(np.frombuffer(raw, "<u4", 1)[0])
+        self.shared = np.frombuffer(raw, "<u4", n, 4).tolist()
+        self.size = np.frombuffer(raw, "<u4", n, 4 + 4 * n).tolist()
+        self.many = np.frombuffer(raw, bool, n, 4 + 8 * n).tolist()
+        self.at, self.raw, self.name = 4 + 9 * n, raw, name
         self.i, self.n, self.string, self.lcp = -1, n, b"", 0
         self.next()
 
@@ -530,108 +329,246 @@ class LoserTree:
                 k //= 2
 
 
-def merged_groups(runs: list[Run]) -> Iterator[tuple[bytes, list[tuple[Run, int]]]]:
-    """Equal strings of all runs together, in order."""
-    held, group = None, []
+def entries(runs: list[Run]) -> Iterator[tuple[int, bytes, list[tuple[Run, int]]]]:
+    """Distinct strings of all runs in order: the prefix shared with the one before, the string, and where it is."""
+    held, first, where = None, 0, []
     for shared, string, run, i in LoserTree(runs):
         if held is not None and shared == len(string) == len(held):
-            group.append((run, i))
+            where.append((run, i))
             continue
-        if group:
-            yield held, group
-        held, group = string, [(run, i)]
-    if group:
-        yield held, group
+        if where:
+            yield first, held, where
+        held, first, where = string, shared, [(run, i)]
+    if where:
+        yield first, held, where
+
+
+def reaches(after: list[bytes], before: list[bytes], shared: list[int], length: int) -> list[tuple[int, int]]:
+    """For each chunk of one anchor, in order, the greatest numbers of bytes before and after the anchor's first byte that are repeated.
+
+    ``shared[i]`` is the length of the prefix that ``after[i]`` shares with ``after[i - 1]``. Only reaches of ``length`` bytes
+    or more in all count; (0, 0): none.
+    """
+    out = [(0, 0)] * len(after)
+    classes = [(0, len(after))] if len(after) > 1 else []
+    while classes:
+        lo, hi = classes.pop()
+        r = min(shared[lo + 1 : hi])
+        order = sorted(range(lo, hi), key=before.__getitem__)
+        left = 0
+        for j, x in enumerate(order):
+            right = common(before[x], before[order[j + 1]], 0) if j + 1 < len(order) else 0
+            most = left if left > right else right
+            if most + r >= length:
+                a, b = out[x]
+                out[x] = (most if most > a else a, r if r > b else b)
+            left = right
+        # classes that share more
+        start = lo
+        for i in range(lo + 1, hi + 1):
+            if i == hi or shared[i] == r:
+                if i - start > 1:
+                    classes.append((start, i))
+                start = i
+    return out
 
 
-def spans(suspects: Suspects) -> DataFrame:
-    """(t, size, a, b): bytes [a, b) of the text with that hash and size are repeated."""
-    table, spark = suspects.table, suspects.table.sparkSession
-    view = view_of(suspects)
-    total = table.count()
-    keep = max(1, 4 * total // SAMPLE)
+def several(where: list[tuple[Run, int]]) -> bool:
+    """Whether an entry has more than one place."""
+    return len(where) > 1 or where[0][0].many[where[0][1]]
 
-    def rebuilt() -> Suspects:
-        s = Suspects.__new__(Suspects)
-        s.__dict__.update(view)
-        return s
+
+def decided(runs: list[Run], length: int) -> Iterator[tuple[Run, int, int, int]]:
+    """(run, entry, bytes before, bytes after) of each entry of which something is repeated."""
+    held: list[tuple[int, bytes, list]] = []
+    group = None
+
+    def settle() -> Iterator[tuple[Run, int, int, int]]:
+        if not held or len(held) == 1 and not several(held[0][2]):
+            return
+        parts = [read(s) for _, s, _ in held]
+        after, before = [p[0] for p in parts], [p[1] for p in parts]
+        shared = [0]
+        for i in range(1, len(held)):
+            k = held[i][0] - 1  # without the first byte, which tells chunks from windows
+            whole = min(len(after[i - 1]), len(after[i]))
+            shared.append(common(after[i - 1], after[i], 0) if b"\0" in held[i][1][1 : k + 2] else min(k, whole))
+        for j, (a, b) in enumerate(reaches(after, before, shared, length)):
+            where = held[j][2]
+            if several(where):
+                a, b = len(before[j]), len(after[j])
+            if b:
+                yield from ((run, i, a, b) for run, i in where)
+
+    for shared, string, where in entries(runs):
+        if string[:1] == WINDOW:
+            yield from settle()
+            held, group = [], None
+            if several(where):
+                yield from ((run, i, 0, length) for run, i in where)
+            continue
+        if group is None or shared < len(group):
+            yield from settle()
+            held, group = [], group_of(string)
+        held.append((shared, string, where))
+    yield from settle()
+
+
+class Builder:
+    """The distinct strings of some texts, with their places (text, anchor)."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+        self.entry: list[int] = []
+        self.t: list[tuple[int, int]] = []
+        self.at: list[int] = []
+        self.size = 0
+
+    def add(self, string: bytes, t: tuple[int, int], at: int) -> None:
+        k = self.number.setdefault(string, len(self.number))
+        if k + 1 == len(self.number):
+            self.size += len(string) + 120
+        self.size += 60
+        self.entry.append(k)
+        self.t.append(t)
+        self.at.append(at)
+
+    def rows(self, cuts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """A run, cut at the ranges: (run, range, strings, places)."""
+        name = uuid.uuid4().int >> 65
+        strings = sorted(self.number)
+        rank = np.empty(len(strings), np.int64)
+        rank[[self.number[s] for s in strings]] = np.arange(len(strings))
+        where = rank[np.array(self.entry, np.int64)]
+        order = np.argsort(where, kind="stable")
+        where, t, at = where[order], np.array(self.t, "<i8").reshape(-1, 2)[order], np.array(self.at, "<i8")[order]
+        begin, edges = 0, []
+        for i, s in enumerate(strings):
+            k = bisect_right(cuts, group_of(s))
+            if not edges or edges[-1][0] != k:
+                edges.append((k, i))
+        for j, (k, begin) in enumerate(edges):
+            end = edges[j + 1][1] if j + 1 < len(edges) else len(strings)
+            a, b = np.searchsorted(where, (begin, end))
+            places = zlib.compress(b"".join(x.tobytes() for x in (np.array([b - a], "<i8"), (where[a:b] - begin).astype("<i4"), t[a:b, 0].copy(), t[a:b, 1].copy(), at[a:b])), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), pa.array([packed_run(strings[begin:end], np.bincount(where[a:b] - begin, minlength=end - begin) > 1)], pa.binary()), pa.array([places], pa.binary())], ["run", "range", "strings", "places"])
+
+
+def unpacked_places(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Entry, both hashes of the text, anchor."""
+    raw = zlib.decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    return np.frombuffer(raw, "<i4", n, 8), *(np.frombuffer(raw, "<i8", n, 8 + 4 * n + 8 * n * k) for k in range(3))
+
+
+class Sorter:
+    """What a task needs to turn texts into strings to sort."""
+
+    def __init__(self, length: int, piece: int, again: Shared, hot: Shared | None = None, windows: Shared | None = None):
+        self.length, self.piece, self.again, self.hot, self.windows = length, piece, again, hot, windows
+
+    def strings(self, raws: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
+        """(string, text, anchor in the text)"""
+        for held, of, offsets in pieces(raws, self.length, self.piece):
+            c = Chunks(held, self.length)
+            which = np.flatnonzero(self.again.hit(c.value))
+            if self.hot is not None:
+                hot = self.hot.hit(c.value[which])
+                split, which = which[hot], which[~hot]
+                if len(split):
+                    first, h = c.windows(split, self.length)
+                    first = first[self.windows.hit(h)]
+                    k = c.piece(first)
+                    for a, i, s in zip(first.tolist(), k.tolist(), c.starts[k].tolist(), strict=True):
+                        yield WINDOW + c.joined[a : a + self.length], of[i], offsets[i] + a - s
+            k = c.piece(c.at[which])
+            for a, n, p, i, s in zip(c.at[which].tolist(), c.n[which].tolist(), c.place[which].tolist(), k.tolist(), c.starts[k].tolist(), strict=True):
+                yield written(c.joined[p : a + n - 1 + self.length], c.joined[a:p]), of[i], offsets[i] + p - s
+
+
+def spans(body: DataFrame, rows: int, length: int, piece: int, log2_bits: int, hot: int) -> DataFrame:
+    """(t1, t2, a, b): bytes [a, b) of the text with these hashes are repeated. ``body``: t1, t2, body of distinct texts, about ``rows``."""
+    spark = body.sparkSession
+    again, often = anchor_filters(body, length, piece, log2_bits, hot)
+    sorter = Sorter(length, piece, Shared(spark, again))
+    if often.any():
+        held = Shared(spark, often)
+        windows = counts(body, length, piece, lambda c: c.windows(np.flatnonzero(held.hit(c.value)), length)[1]).filter("n > 1").select("h")
+        sorter.hot, sorter.windows = held, Shared(spark, hash_filter(windows, log2_bits))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = rebuilt()
-        for whole in batches:
-            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in s.suffixes(batch)], pa.binary())], ["s"])
-
-    # of a share of the chunks; at most a small multiple of SAMPLE rows
-    part = table if keep == 1 else table.filter(F.pmod(F.xxhash64("t", "at"), F.lit(keep)) == 0)
-    sample = sorted(part.mapInArrow(sampled, "s binary").distinct().limit(8 * SAMPLE).toArrow().column("s").to_pylist())
-    n = RANGES_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    splitters = [sample[len(sample) * i // n] for i in range(1, n)] if sample else []
-    shared = spark.sparkContext.broadcast(splitters)
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, cuts = rebuilt(), shared.value
-        held: dict[bytes, Counter] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            by_range: dict[int, list[bytes]] = {}
-            for x in sorted(held):
-                by_range.setdefault(bisect_right(cuts, x), []).append(x)
-            for k, strings in by_range.items():
-                blob = packed_run(strings, [[(*p, c) for p, c in held[x].items()] for x in strings])
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["range", "run"])
-
-        for whole in batches:
-            for batch in (whole.slice(i, 4096) for i in range(0, whole.num_rows, 4096)):
-                t, sizes, at = (batch.column(c).to_pylist() for c in ("t", "size", "at"))
-                for x, row, first, copies in s.suffixes(batch):
-                    places = held.get(x)
-                    if places is None:
-                        places = held[x] = Counter()
-                        size += len(x) + 200
-                    places[(t[row], sizes[row], at[row] + first) if row >= 0 else (0, 0, 0)] += copies
-                if size > 96 << 20:  # a run of bounded size
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+        for batch in sliced(batches, 64):
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({group_of(s) for s, _, _ in sorter.strings(texts(batch, 0))})[::4], pa.binary())], ["s"])
+
+    keep = max(1, rows // SAMPLE)
+    sample = sorted(body.filter(F.pmod("t2", F.lit(keep)) == 0).select("body").mapInArrow(sampled, "s binary").limit(16 * SAMPLE).toArrow().column("s").to_pylist())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = RANGES_A_PARTITION * partitions
+    shared = spark.sparkContext.broadcast(sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else [])
+
+    def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Builder()
+        for batch in sliced(batches, 256):
+            t = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            for string, i, at in sorter.strings(texts(batch, 2)):
+                held.add(string, t[i], at)
+            if held.size > RUN:
+                yield from held.rows(shared.value)
+                held = Builder()
+        if held.number:
+            yield from held.rows(shared.value)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_range: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_range.setdefault(k, []).append(blob)
-        for k in sorted(by_range):
-            found: list[tuple] = []
-            for string, group in merged_groups([Run(blob) for blob in by_range.pop(k)]):
-                places: dict[tuple, int] = {}
-                for run, i in group:
-                    for j in range(run.place[i], run.place[i + 1]):
-                        size, first, copies = run.rest[j].tolist()
-                        key = (int(run.text[j]), size, first)
-                        places[key] = places.get(key, 0) + copies
-                if sum(places.values()) > 1:
-                    found += [(*p, p[2] + len(string) - 1) for p in places if p[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), *(pa.array([f[i] for f in found], pa.int32()) for i in (1, 2, 3))], ["t", "size", "a", "b"])
-
-    return table.mapInArrow(runs, "range int, run binary").repartition("range").mapInArrow(merged, "t long, size int, a int, b int")
-
-
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_bits: int = LOG2_BITS) -> DataFrame:
+        rows = ((k, name, blob) for batch in batches for k, name, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for k, of_range in groupby(rows, lambda r: r[0]):
+            runs = [Run(blob, name) for _, name, blob in of_range]
+            found = {id(r): np.zeros((2, r.n), "<u2") for r in runs}
+            for run, i, a, b in decided(runs, length):
+                found[id(run)][:, i] = a, b
+            some = [r for r in runs if found[id(r)].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([r.name for r in some], pa.int64()), pa.array([k] * len(some), pa.int32()), pa.array([zlib.compress(found[id(r)].tobytes(), 1) for r in some], pa.binary())], ["run", "range", "reach"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 64):
+            for places, reach in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                entry, t1, t2, at = unpacked_places(places)
+                before, after = np.frombuffer(zlib.decompress(reach), "<u2").reshape(2, -1)[:, entry].astype(np.int64)
+                some = np.flatnonzero(after)
+                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (t1, t2, at - before, at + after)], ["t1", "t2", "a", "b"])
+
+    table = stored(body.select("t1", "t2", "body").mapInArrow(sorted_runs, "run long, range int, strings binary, places binary"))
+    # runs go by their key range, places wait
+    reach = table.select("range", "run", "strings").repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(merged, "run long, range int, reach binary")
+    return table.select("run", "range", "places").join(reach, ["run", "range"]).select("places", "reach").mapInArrow(placed, "t1 long, t2 long, a long, b long")
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_bits: int = LOG2_BITS, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """``docs`` with n_bytes, n_removed, n_spans and kept."""
-    if length < GRAM + 2 * CELL or length > 60_000:
-        raise ValueError(f"length must be from {GRAM + 2 * CELL} to 60000")
+    if length < GRAM + 24 or length > 60_000:
+        raise ValueError(f"length must be from {GRAM + 24} to 60000")
+    spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
-    table = stored(chunks(docs, text, length, repeated(anchors(docs, text, length), log2_bits)))
-    found = spans(Suspects(table, length, log2_bits)).groupBy("t", "size").agg(F.collect_set(F.struct("a", "b")).alias("__spans"))
-    body = F.col(text)
-    keyed = docs.select(*names, F.xxhash64(body).alias("__t"), F.octet_length(body).alias("__size"))
-    joined = keyed.join(found.withColumnsRenamed({"t": "__t", "size": "__size"}), ["__t", "__size"], "left").select(*names, "__spans")
+    body = F.coalesce(F.col(text), F.lit(""))
+    hashes = {"__t1": F.xxhash64(body), "__t2": F.xxhash64(F.lit(1), body)}
+    slim = docs.select(body.alias("body")).select("body", F.xxhash64("body").alias("t1"), F.xxhash64(F.lit(1), "body").alias("t2"))
+    long = slim.filter(F.octet_length("body") >= length)
+    # texts that occur more than once: a row each
+    size = long.select("t1", "t2", F.octet_length("body").cast("long").alias("b"))
+    copies = stored(size.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("b").alias("b")).groupBy((F.col("n") > 1).alias("again"), F.when(F.col("n") > 1, F.col("t1")).alias("t1"), F.when(F.col("n") > 1, F.col("t2")).alias("t2")).agg(F.count("*").alias("texts"), F.max("b").alias("b")))
+    distinct = copies.agg(F.sum("texts")).first()[0] or 0
+    copies = copies.filter("again").select("t1", "t2", F.lit(0).cast("long").alias("a"), "b")
+    copied = Shared(spark, hash_filter(copies.select(F.col("t1").alias("h")), log2_bits))
+    one_each = stored(long.filter(copied.column("t1")).dropDuplicates(["t1", "t2"]))
+    found = spans(long.filter(~copied.column("t1")).unionByName(one_each), distinct, length, piece, log2_bits, hot)
+    by_text = stored(found.unionByName(copies).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__spans")))
+    touched = Shared(spark, hash_filter(by_text.select(F.col("t1").alias("h")), log2_bits))
+    keyed = docs.select(*names).withColumns(hashes)
+    joined = keyed.filter(touched.column("__t1")).join(by_text.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left").select(*names, "__spans")
     at = names.index(text)
     schema = T.StructType([*(docs.schema[c] for c in names), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns: list[list] = [[], [], [], []]
             for raw, spans in zip(texts(batch, at), batch.column(len(names)).to_pylist(), strict=True):
                 kept, last, runs = [], 0, 0
@@ -648,7 +585,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_
                     column.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary())], schema.names)
 
-    return joined.mapInArrow(cut, schema)
+    none = F.lit(0).cast("long")
+    whole = keyed.filter(~touched.column("__t1")).select(*names, F.octet_length(body).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), body.cast("binary").alias("kept"))
+    return joined.mapInArrow(cut, schema).unionByName(whole)
 
 
 def summary(rows: DataFrame, key: str = "doc_id") -> DataFrame:
