@@ -1,6 +1,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -121,6 +122,68 @@ def test_quality(spark):
     assert quality.judge(frame(spark, ["a"]).filter("false")).count() == 0
 
 
+def contaminated(texts, items, threshold=0.8):
+    """(document, item) of all windows of all documents, by counting tuples of words."""
+
+    def shingles(w, size):
+        return collections.Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1))
+
+    split = lambda x: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (x or "").lower())
+    found = set()
+    for d, x in enumerate(texts):
+        w = split(x)
+        for name, y in items:
+            item = split(y)
+            size = min(5, len(item))
+            if not item or len(w) < size:
+                continue
+            own = shingles(item, size)
+            for a in range(max(1, len(w) - len(item) + 1)):
+                have = shingles(w[a : a + len(item)], size)
+                both = sum((have & own).values())
+                if both >= threshold * (sum(have.values()) + sum(own.values()) - both) - 1e-9:
+                    found.add((d, name))
+                    break
+    return found
+
+
+def test_decontamination_recall(spark):
+    random.seed(12)
+    words = [f"u{i}" for i in range(400)]
+    items = [[random.choice(words) for _ in range(random.randint(12, 70))] for _ in range(60)]
+    texts = []
+    for _ in range(400):  # passages with changes, on both sides of the threshold, and some that repeat words
+        w = list(random.choice(items))
+        for _ in range(random.randint(0, max(1, len(w) // 12))):
+            w[random.randrange(len(w))] = random.choice(words)
+        texts.append(" ".join([*random.choices(words, k=random.randint(0, 40)), *w, *random.choices(words, k=random.randint(0, 40))]))
+    texts += [" ".join(x) for x in items[:5]] + ["u1 " * 300, " ".join(items[7]) + " " + "u2 " * 50]
+    bench = [(i, " ".join(x)) for i, x in enumerate(items)] + [(99, "u1 " * 40)]
+    want = contaminated(texts, bench)
+    out = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame(spark, texts), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert out <= want and len(want) > 150 and len(out) >= 0.97 * len(want)
+
+
+def test_decontamination_blocks_are_selective():
+    rng = np.random.default_rng(3)
+    index = decontaminate.Index([(i, " ".join(f"{i}x{k}" for k in range(30)).encode()) for i in range(300)], 0.8)
+    windows = rng.integers(0, 1 << 63, 2000, np.int64).view(np.uint64) * np.uint64(2) + rng.integers(0, 2, 2000).astype(np.uint64)
+    found, _ = index.candidates(30, windows)
+    assert len(found) < 0.05 * 2000 * 300
+    for flips in range(decontaminate.RADIUS + 1):  # all within the radius are found
+        masks = np.array([sum(1 << int(b) for b in rng.choice(64, flips, replace=False)) for _ in range(300)], np.uint64)
+        assert {(w, i) for w, i, _ in index.within(30, index.fp ^ masks, decontaminate.RADIUS)} >= {(i, i) for i in range(300)}
+
+
+def test_decontamination_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    bench = spark.createDataFrame([(None, "a b c d e f g"), (3, "h i j k l m n"), (3, "h i j k l m n")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "x a b c d e f g", 1), (None, "x a b c d e f g", 1), (5, long + " h i j k l m n " + long, 2), (6, long, 3)], "doc_id long, text string, item_id int")
+    out = sorted(map(str, (tuple(r) for r in decontaminate.matches(docs, bench).select("doc_id", "item_id", "similarity", "start_word").collect())))
+    assert out == sorted(map(str, [(None, None, 1.0, 1)] * 2 + [(5, 3, 1.0, 60_000)] * 2))
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [6]
+
+
 def test_decontamination(spark):
     random.seed(6)
     words = [f"v{i}" for i in range(300)]
@@ -130,14 +193,7 @@ def test_decontamination(spark):
     docs += [[*some(50), *items[2], *some(9)], [*items[3]], [*some(30), *items[4][:30], "other", *items[4][31:], *some(5)], [*some(20), *items[5][:25], *some(20)], [*some(4), *items[0], *some(4)], [*some(8), *items[1]]]
     texts = [" ".join(d) for d in docs] + [None, "", " ".join(items[3]).upper().replace(" ", ", ")]
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(9, None), (10, "")], "item_id long, text string")
-    want = set()
-    index = decontaminate.Index([(i, " ".join(x).encode()) for i, x in enumerate(items)], 0.8)
-    for d, x in enumerate(texts):
-        w = decontaminate.words_of((x or "").encode())
-        for item, n, counts in index.items:
-            size = min(5, n)
-            if len(w) >= size and any(decontaminate.similarity(collections.Counter(decontaminate.shingle_hashes(decontaminate.word_hashes(w[a : a + n]), size).tolist()), counts) >= 0.8 for a in range(len(w) - size + 1)):
-                want.add((d, item))
+    want = contaminated(texts, [(i, " ".join(x)) for i, x in enumerate(items)])
     out = decontaminate.matches(frame(spark, texts), bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in out} == want and len(want) >= 6
     kept = decontaminate.clean(frame(spark, texts), bench)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -19,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: ``spark.checkpoint.dir``, or a temporary one where the cluster names none."""
+    """The shared folder for written intermediate tables: ``spark.checkpoint.dir``. Only a local session may do without: it gets a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -48,6 +52,12 @@ def id_bucket_column(doc_id, modulus: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def thinned(docs: DataFrame, rows: int) -> DataFrame:
+    """About so many rows, chosen evenly in every partition and left where they are; for measurements that decide speed only."""
+    n = docs.count()
+    return docs if n <= rows else docs.filter(F.rand(42) < rows / n)
+
+
 def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
     """The texts of a batch as UTF-8 bytes; null becomes empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -3,50 +3,65 @@
 Every rule is a cheap test on numbers of a text. On a bounded sample each rule's cost and the share that it rejects are
 measured, and the rules are ordered by rejections per cost, the order that minimises the expected cost if rules reject
 independently. A text leaves the cascade at the first rule that rejects it, so its verdict doesn't depend on the order;
-only the time does.
+only the time does. The numbers that every row reports are there before the cascade, so a rule's cost is what it adds to them.
+
+Rules of equal rejections per cost go by their cost, then by their place in ``RULES``.
 
 Defined cases: null and empty texts have no words, so they fail the base rule; repeated rows are judged each; further
-columns are ignored.
+columns are ignored; texts of any length are judged whole, in memory that grows with that text only.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import sliced, texts, thinned
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Texts on which costs and selectivities are measured. They decide the order of the rules, never a verdict.
+#: Texts, about, on which costs and selectivities are measured. They decide the order of the rules, never a verdict.
 SAMPLE_DOCS = 500
 
 
 class Text:
-    """A text with its lazily shared parts."""
-
-    __slots__ = ("raw", "text", "words")
+    """A text with the parts that several rules share; each is made at its first use."""
 
     def __init__(self, raw: bytes):
-        self.raw, self.text, self.words = raw, raw.decode(errors="replace"), raw.split()
+        self.raw = raw
 
+    @cached_property
+    def text(self) -> str:
+        return self.raw.decode(errors="replace")
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.raw.split()
 
-def word_chars(x: Text) -> int:
-    return len(x.text) - sum(map(x.text.count, " \t\n\x0b\x0c\r"))
+    @cached_property
+    def lines(self) -> list[bytes]:
+        """Lines with a word."""
+        return [y for y in self.raw.split(b"\n") if y.strip(b" \t\n\x0b\x0c\r")]
 
+    @cached_property
+    def word_chars(self) -> int:
+        return len(self.text) - sum(map(self.text.count, " \t\n\x0b\x0c\r"))
 
-def n_symbols(x: Text) -> int:
-    return sum(map(x.text.count, SYMBOLS))
+    @cached_property
+    def n_symbols(self) -> int:
+        return sum(map(self.text.count, SYMBOLS))
 
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
 
-def n_dup_lines(x: Text) -> int:
-    lines = [y for y in x.raw.split(b"\n") if y.strip(b" \t\n\x0b\x0c\r")]
-    return len(lines) - len(set(lines))
+    def numbers(self) -> tuple[int, ...]:
+        return len(self.words), self.word_chars, self.n_symbols, self.n_dup_lines, n_repeat_words(self)
 
 
 def n_repeat_words(x: Text, width: int = WINDOW) -> int:
@@ -73,18 +88,18 @@ def n_repeat_words(x: Text, width: int = WINDOW) -> int:
 
 
 def symbol_heavy(x: Text) -> bool:
-    return 10 * n_symbols(x) > len(x.words)
+    return 10 * x.n_symbols > len(x.words)
 
 
 def word_length_odd(x: Text) -> bool:
-    mean = word_chars(x) / max(1, len(x.words))
+    mean = x.word_chars / max(1, len(x.words))
     return not 2 <= mean <= 25
 
 
 def shouting(x: Text) -> bool:
     """Most letters that have case are capitals."""
     upper = sum(map(str.isupper, x.text))
-    return 2 * upper > len(x.text) - sum(map(x.text.count, " \t\n\x0b\x0c\r"))
+    return 2 * upper > x.word_chars
 
 
 def wordless(x: Text) -> bool:
@@ -93,8 +108,7 @@ def wordless(x: Text) -> bool:
 
 
 def lines_repeat(x: Text) -> bool:
-    lines = sum(1 for y in x.raw.split(b"\n") if y.strip(b" \t\n\x0b\x0c\r"))
-    return lines > 3 and 10 * n_dup_lines(x) > 3 * lines
+    return len(x.lines) > 3 and 10 * x.n_dup_lines > 3 * len(x.lines)
 
 
 def one_word_rules(x: Text) -> bool:
@@ -120,13 +134,15 @@ RULES: dict[str, Callable[[Text], bool]] = {
 
 
 def measure(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, rules: dict | None = None) -> dict[str, tuple[float, float]]:
-    """Cost in seconds and rejected share of each rule, on at most ``sample_docs`` texts; only sums come to the driver."""
+    """Cost in seconds and rejected share of each rule, on about ``sample_docs`` texts; only sums come to the driver."""
     rules = rules or RULES
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {k: [0.0, 0, 0] for k in rules}
-        for batch in batches:
+        for batch in sliced(batches):
             items = [Text(x) for x in texts(batch, 0)]
+            for x in items:
+                x.numbers()
             for k, rule in rules.items():
                 t = time.perf_counter()
                 sums[k][1] += sum(rule(x) for x in items if x.words)
@@ -134,7 +150,7 @@ def measure(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS,
                 sums[k][2] += len(items)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([float(v[i]) for v in sums.values()], pa.float64()) for i in range(3))], ["rule", "cost", "rejected", "n"])
 
-    rows = docs.select(text).limit(sample_docs).mapInArrow(timed, "rule string, cost double, rejected double, n double").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()
+    rows = thinned(docs.select(text), sample_docs).mapInArrow(timed, "rule string, cost double, rejected double, n double").groupBy("rule").agg(F.sum("cost").alias("cost"), F.sum("rejected").alias("rejected"), F.sum("n").alias("n")).collect()
     return {r["rule"]: (r["cost"] / max(1.0, r["n"]), r["rejected"] / max(1.0, r["n"])) for r in rows}
 
 
@@ -150,12 +166,12 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: i
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = [RULES[k] for k in order]
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             rows: list[list[int]] = [[] for _ in names]
             failed, kept = [], []
             for raw in texts(batch, 1):
                 x = Text(raw)
-                n = (len(x.words), word_chars(x), n_symbols(x), n_dup_lines(x), n_repeat_words(x))
+                n = x.numbers()
                 for column, value in zip(rows, n, strict=True):
                     column.append(value)
                 failed.append(n[0] < min_words or 100 * n[4] > max_repeat_percent * n[0])

@@ -47,8 +47,8 @@ from tidemark.llm.common import BitFilter, hash_filter, in_filter, merged_bits,
 
 GRAM = 64
 LOG2_BITS = 27
-#: Occurrences of an anchor from which its chunks are split.
-HOT = 4096
+#: Occurrences of an anchor from which its chunks are split: a group of chunks that is held at once has at most so many, about 13 MB.
+HOT = 1 << 15
 #: Bytes of text that are hashed together: the arrays stay in the processor's cache.
 TOGETHER = 1 << 18
 #: Windows of a text that are worked on at once.

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import texts
+from tidemark.llm.common import texts, thinned
 
 SPACE = "▁"
-#: Documents whose pre-tokens are counted for the frequent table. It decides speed only.
+#: Documents, about, whose pre-tokens are counted for the frequent table. It decides speed only.
 SAMPLE_DOCS = 4000
 #: Rows of the frequent table: a proven bound of what is broadcast.
 FREQUENT = 1 << 16
@@ -118,7 +118,7 @@ def read_model(path: str) -> bytes:
 
 
 def frequent_pretokens(docs: DataFrame, text: str, cut_lines: bool, sample_docs: int, size: int) -> list[str]:
-    """The most frequent pre-tokens of at most ``sample_docs`` documents; at most ``size`` rows come to the driver."""
+    """The most frequent pre-tokens of about ``sample_docs`` documents, counted where they are; at most ``size`` rows come to the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -129,7 +129,7 @@ def frequent_pretokens(docs: DataFrame, text: str, cut_lines: bool, sample_docs:
         top = total.most_common(2 * size)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["key", "n"])
 
-    rows = docs.select(text).limit(sample_docs).mapInArrow(counted, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size)
+    rows = thinned(docs.select(text), sample_docs).mapInArrow(counted, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(size)
     return rows.toArrow().column("key").to_pylist()
 
 
