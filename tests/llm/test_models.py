@@ -91,6 +91,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.clean(docs, model).columns == docs.columns
 
 
+def test_label_model_finds_what_simulated_voters_are_like():
+    rng = np.random.default_rng(5)
+    n, true, false = 20_000, np.array([0.9, 0.8, 0.7, 0.85, 0.75]), np.array([0.05, 0.1, 0.02, 0.08, 0.03])
+    y = rng.random(n) < 0.2
+    votes = np.where(rng.random((n, 5)) < np.where(y[:, None], true, false), 1, -1)
+    votes = np.hstack([votes, votes[:, 4:], votes[:, 4:]])  # two voters that copy another
+    gold = np.where(rng.random(n) < 0.02, np.where(y, 1, -1), 0)
+    for known in (gold, np.zeros(n, int)):  # with some labels, and without any
+        m = toxicity.label_model(votes, np.where(votes.sum(axis=1) > 0, 0.9, 0.05), known)
+        assert abs(m.rates[:5, 1, 2] - true).max() < 0.05 and abs(m.rates[:5, 0, 2] - false).max() < 0.03 and abs(m.prior - 0.2) < 0.03
+        assert m.correlations[4, 5] > 0.95 and abs(m.correlations[:4, :4] - np.eye(4)).max() < 0.15
+        assert abs(m.weights()[4:] - 1 / 3).max() < 0.06
+        assert ((m.posterior(votes) > 0.5) == y).mean() > 0.97
+    counted, times = np.unique(np.hstack([votes, gold[:, None]]), axis=0, return_counts=True)
+    again = toxicity.label_model(counted[:, :-1], np.where(counted[:, :-1].sum(axis=1) > 0, 0.9, 0.05), counted[:, -1], times)
+    assert np.allclose(again.rates, toxicity.label_model(votes, np.where(votes.sum(axis=1) > 0, 0.9, 0.05), gold).rates, atol=1e-6)
+
+
+def test_votes_overrule_a_wrong_label():
+    random.seed(2)
+    bad, plain = [f"slur{i}" for i in range(6)], [f"word{i}" for i in range(300)]
+    rows, wrong = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        x = " ".join([*random.choices(plain, k=30), *(random.sample(bad, 3) if toxic else [])]).encode()
+        wrong += [x] if toxic and i % 60 == 0 else []
+        rows.append((x, int(toxic and i % 60 != 0)))
+    model = toxicity.train(toxicity.rows_of(rows))
+    scores = toxicity.Scores(model.weights)
+    assert len(wrong) == 10 and all(toxicity.score_text(x, model, scores) > 0.9 for x in wrong)
+
+
+def test_toxicity_of_odd_rows(spark):
+    rows = [(i % 40 if i % 9 else None, f"you are a fine w{i} person" if i % 3 else f"you worthless idiot w{i}", 0.1) for i in range(300)] + [(7, None, 0.2), (8, "", 0.3), (9, "idiot " * 40_000, 0.4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0) if i % 5 else None) for i in range(40)] + [(3, 0), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
+    assert toxicity.clean(docs, toxicity.fit(docs, labels)).columns == docs.columns
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, ["you idiot", "a fine day", None, ""])
     labels = spark.createDataFrame([], "doc_id long, toxic int")

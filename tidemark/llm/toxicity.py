@@ -1,21 +1,24 @@
 """Toxicity by weak supervision.
 
-1. Voters: fixed lexicons, text patterns, and lexicons mined from the labelled training rows: words and word beginnings that
+1. Voters: fixed lexicons, text patterns, and lexicons mined from a sample of labelled rows: words and word beginnings that
    are far more frequent in toxic ones, each kind mined on several parts of the rows, so that voters differ. A voter
    votes toxic, votes clean, or abstains.
-2. Label model: a generative model of the votes given the unknown class, fitted by EM. Each voter has its own rates of each vote in
-   each class. Voters that agree given the class more than independence allows are correlated; a voter's log-odds are divided by
-   its number of such companions, which the model estimates, too. Where a training row has a label, that is one more, trusted vote.
-3. A linear classifier, logistic regression on words and word beginnings, is trained on the posterior labels. It alone scores.
+2. Label model: a generative model of the votes given the unknown class, fitted by EM to the votes of all documents that aren't held
+   out, copies once. Executors cast the votes and count equal ballots; the driver sees one row for each ballot, whose number depends on
+   the voters, not on the documents. Each voter has its own rates of each vote in each class. Rows with a label show the voters' rates
+   (their class is known in the M step, with as much weight in all as the other rows), but no label enters a posterior: that comes from
+   the votes alone. Each pair of voters has a correlation given the class; a voter's log-odds are divided by the sum of its own, so
+   that voters that say the same thing count as one.
+3. A linear classifier, logistic regression on words and word beginnings, is trained on the posterior labels of a sample. It alone scores.
 
-Training reads bounded samples, chosen by hash of the id: ``MAX_LABELLED`` labelled rows and ``MAX_UNLABELLED`` others, none of
-them held out. Everything else covers all rows; scoring is one pass without a shuffle.
+Mining and the classifier read bounded samples, chosen by hash of the id: ``MAX_LABELLED`` labelled rows and ``MAX_UNLABELLED`` others,
+none of them held out. Everything else covers all rows; scoring is one pass without a shuffle.
 
 Words: ASCII white space and punctuation separate them, A-Z in lower case. Labels, language, source and id are no inputs of a score.
 
 Defined cases: null and empty texts get the score of a text without known features; without labels of both classes there are no
 mined voters and the fixed ones start with documented accuracies; rows with an id that occurs more than once in ``labels`` are toxic if any
-label says so; null ids and null labels are not learned from; further columns are ignored by ``score`` and kept by ``clean``.
+label says so; null ids and null labels are not learned from; further columns are ignored by ``score`` and kept by ``clean``; a text of any length is scored whole.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_bucket, id_bucket_column, texts
+from tidemark.llm.common import id_bucket, id_bucket_column, sliced, texts
 
 MAX_LABELLED = 8_000
 MAX_UNLABELLED = 2_000
@@ -38,6 +41,8 @@ MAX_UNLABELLED = 2_000
 MAX_FEATURES = 6_000
 BEGINNINGS = (4, 5, 6)
 PARTS = 3
+#: What makes a feature telling enough for a mined voter: standard errors, and times as frequent.
+MINED_Z, MINED_TIMES = 5.0, 8.0
 SATURATION = 4
 SEPARATORS = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else i for i in range(256))
 
@@ -77,7 +82,8 @@ class Model:
     bias: float
     weights: dict[int, float]  # by feature
     voters: dict[str, tuple[float, float]] = field(default_factory=dict)  # true and false positive rate
-    correlated: dict[str, int] = field(default_factory=dict)
+    #: sum of a voter's correlations with all voters given the class, its own of 1 included
+    correlated: dict[str, float] = field(default_factory=dict)
 
 
 @dataclass
@@ -112,12 +118,20 @@ def described(raw: bytes, cache: Features) -> tuple[np.ndarray, np.ndarray, list
     return features, np.minimum(counts, SATURATION).astype(np.uint8), votes, xxhash.xxh3_64_intdigest(repr(least)) >> 1
 
 
+def trainable():
+    return F.col("i").isNotNull() & (id_bucket_column(F.col("i")) != 0)
+
+
+def known_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(i, y) of the labelled rows that aren't held out."""
+    known = labels.select(F.col(key).alias("i"), F.col(label).cast("int").alias("y")).filter(trainable() & F.col("y").isNotNull())
+    return known.groupBy("i").agg(F.max("y").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> list[Row]:
     """At most MAX_LABELLED + MAX_UNLABELLED training rows. Texts become feature hashes where they are; the driver sees no text."""
-    ours = F.col("i").isNotNull() & (id_bucket_column(F.col("i")) != 0)
-    known = labels.select(F.col(key).alias("i"), F.col(label).cast("int").alias("y")).filter(ours & F.col("y").isNotNull()).groupBy("i").agg(F.max("y").alias("y"))
-    known = known.orderBy(F.xxhash64("i"), "i").limit(MAX_LABELLED)
-    others = docs.select(F.col(key).alias("i")).filter(ours).orderBy(F.xxhash64(F.col("i"), F.lit(1)), "i").limit(MAX_UNLABELLED).select("i", F.lit(None).cast("int").alias("y"))
+    known = known_labels(labels, key, label).orderBy(F.xxhash64("i"), "i").limit(MAX_LABELLED)
+    others = docs.select(F.col(key).alias("i")).filter(trainable()).orderBy(F.xxhash64(F.col("i"), F.lit(1)), "i").limit(MAX_UNLABELLED).select("i", F.lit(None).cast("int").alias("y"))
     chosen = known.unionByName(others).groupBy("i").agg(F.max("y").alias("y"))
     # at most MAX_LABELLED + MAX_UNLABELLED rows, by the limits above
     found = docs.select(F.col(key).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")
@@ -174,62 +188,153 @@ class Matrix:
         return np.bincount(self.row[chosen[self.at]], minlength=self.n)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, gold: np.ndarray, rounds: int = 25, trust: float = 0.97) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1, vote rates [voter, class, vote + 1], and each voter's number of correlated voters (itself included).
+class Voters:
+    """The fixed voters and the mined ones, cast as a ballot: one bit for each that finds something."""
+
+    def __init__(self, mined: dict[str, np.ndarray]):
+        self.names = [*LEXICONS, *PATTERNS, *mined]
+        self.fixed = len(LEXICONS) + len(PATTERNS)
+        self.by_feature: dict[int, int] = {}
+        for k, features in enumerate(mined.values(), self.fixed):
+            for f in features.tolist():
+                self.by_feature[f] = self.by_feature.get(f, 0) | 1 << k
+        self.by_word: dict[bytes, int] = {}
+
+    def of_word(self, word: bytes) -> int:
+        out = self.by_word.get(word)
+        if out is None:
+            text = word.decode(errors="replace")
+            out = 0
+            for k, own in enumerate(LEXICON_SETS.values()):
+                out |= (text in own) << k
+            for f in features_of(text):
+                out |= self.by_feature.get(f, 0)
+            if len(self.by_word) >= 400_000:
+                self.by_word.clear()
+            if len(word) <= 64:
+                self.by_word[word] = out
+        return out
 
-    votes: -1 clean, 0 abstains, 1 toxic. start: the first posterior. gold: the label as one more vote, right with probability ``trust``.
-    """
-    n, m = votes.shape
-    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # row, voter, vote
-    post = start.copy()
-    belief = gold * (math.log(trust / (1 - trust)) + 4)
-    companions = np.ones(m)
-    rates = np.full((m, 2, 3), 1 / 3)
-    for k in range(rounds):
-        for c, weight in ((0, 1 - post), (1, post)):
-            rates[:, c, :] = (np.einsum("n,nmv->mv", weight, onehot) + 0.5) / (weight.sum() + 1.5)
-        prior = float(np.clip(post.mean(), 0.001, 0.5))
-        if k % 5 == 4:  # agreement beyond what the classes explain
-            total = np.zeros((m, m))
-            for c, weight in ((0, 1 - post), (1, post)):
-                x = (votes - (rates[:, c, 2] - rates[:, c, 0])[None, :]) * np.sqrt(weight)[:, None]
-                total += x.T @ x
-            scale = np.sqrt(np.clip(np.diag(total), 1e-9, None))
-            companions = (np.clip(total / scale[:, None] / scale[None, :], 0, 1) > 0.4).sum(axis=1).astype(float)
-            companions = np.maximum(companions, 1)
-        odds = np.log(rates[:, 1, :]) - np.log(rates[:, 0, :])
-        logit = math.log(prior / (1 - prior)) + np.einsum("nmv,mv->n", onehot, odds / companions[:, None]) + belief
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rates, companions
-
-
-def train(rows: list[Row]) -> Model:
+    def ballot(self, raw: bytes) -> int:
+        out = 0
+        for k, p in enumerate(PATTERNS.values(), len(LEXICONS)):
+            out |= bool(p.search(raw)) << k
+        for x in map(self.of_word, set(raw.lower().translate(SEPARATORS).split())):
+            out |= x
+        return out
+
+    def votes(self, ballots: np.ndarray) -> np.ndarray:
+        """1 toxic, 0 abstains, -1 clean: mined words vote clean where they find nothing, the others abstain."""
+        hit = (ballots[:, None] >> np.arange(len(self.names))) & 1
+        return np.where(hit > 0, 1, np.where([x.startswith("words_") for x in self.names], -1, 0))
+
+
+@dataclass
+class LabelModel:
+    """Class prior, vote rates [voter, class, vote + 1], and correlations [voter, voter] given the class."""
+
+    prior: float
+    rates: np.ndarray
+    correlations: np.ndarray
+
+    def weights(self) -> np.ndarray:
+        return 1 / np.clip(self.correlations, 0, 1).sum(axis=1)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Of class 1, from the votes alone."""
+        odds = (np.log(self.rates[:, 1, :]) - np.log(self.rates[:, 0, :])) * self.weights()[:, None] * [1, 0, 1]  # who abstains says nothing
+        logit = math.log(self.prior / (1 - self.prior)) + sum((odds[k, votes[:, k] + 1] for k in range(votes.shape[1])), np.zeros(len(votes)))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, gold: np.ndarray, n: np.ndarray | None = None, rounds: int = 40) -> LabelModel:
+    """Fitted by EM to ballots: votes [ballot, voter] of -1 clean, 0 abstains, 1 toxic; n: how often each was cast; start: the first
+    posterior; gold: 1 or -1 where the class is known, else 0."""
+    n = np.ones(len(votes)) if n is None else n.astype(float)
+    known = gold != 0
+    # the rows of known class weigh as much as the others, in all, and no more than ten times what they are
+    weight = np.where(known, n * np.clip(n[~known].sum() / max(1.0, n[known].sum()), 1, 10), n)
+    onehot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+    truth = np.where(gold > 0, 1.0, 0.0)
+    out = LabelModel(0.1, np.full((votes.shape[1], 2, 3), 1 / 3), np.eye(votes.shape[1]))
+    post = start.astype(float)
+    for _ in range(rounds):
+        post = np.where(known, truth, post)
+        total = np.zeros((votes.shape[1],) * 2)
+        for c, w in ((0, weight * (1 - post)), (1, weight * post)):
+            rates = (np.einsum("n,nmv->mv", w, onehot) + 0.5) / (w.sum() + 1.5)
+            out.rates[:, c, :] = rates
+            x = (votes - (rates[:, 2] - rates[:, 0])) * np.sqrt(w / max(w.sum(), 1e-9))[:, None]
+            total += x.T @ x
+        scale = np.sqrt(np.clip(np.diag(total), 1e-9, None))
+        out.correlations = np.clip(total / scale[:, None] / scale[None, :], -1, 1)
+        np.fill_diagonal(out.correlations, 1.0)
+        out.prior = float(np.clip((n * post).sum() / n.sum(), 0.001, 0.5))
+        post = out.posterior(votes)
+    return out
+
+
+def mined_voters(rows: list[Row], m: Matrix) -> dict[str, np.ndarray]:
+    """Features by voter, from the labels of the sample."""
+    gold = np.array([0 if r.y is None else 1 if r.y > 0 else -1 for r in rows])
+    part = np.arange(len(rows)) % PARTS
+    out = {}
+    for k in range(PARTS):
+        features = m.telling(((gold > 0) & (part != k)).astype(float), ((gold < 0) & (part != k)).astype(float), MINED_Z, MINED_TIMES)
+        for kind in range(len(BEGINNINGS) + 1):
+            own = features[m.kind[features] == kind]
+            if len(own):
+                out[f"{'words' if not kind else f'beginnings_{BEGINNINGS[kind - 1]}'}_{k}"] = m.names[own]
+    return out
+
+
+Cast = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def cast(docs: DataFrame, labels: DataFrame, voters: Voters, key: str, text: str, label: str) -> Cast:
+    """Ballots of all documents that aren't held out, their known class or 0, and how often each comes; equal texts vote once."""
+    shared = docs.sparkSession.sparkContext.broadcast(voters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voters = shared.value
+        for batch in sliced(batches, 1024):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([voters.ballot(x) for x in texts(batch, 2)], pa.int64())], ["i", "h", "ballot"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    body = docs.select(F.col(key).alias("i"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).alias("t")).filter(trainable())
+    one = body.mapInArrow(run, f"i {kind}, h long, ballot long").join(known_labels(labels, key, label), "i", "left").groupBy("h").agg(F.max("ballot").alias("ballot"), F.max("y").alias("y"))
+    rows = one.groupBy("ballot", F.coalesce(F.signum(F.col("y") - 0.5).cast("int"), F.lit(0)).alias("gold")).count().toArrow()
+    return tuple(rows.column(c).to_numpy() for c in ("ballot", "gold", "count"))
+
+
+def train(rows: list[Row], cast_votes=None) -> Model:
+    """``cast_votes`` gives the ballots of all documents to given voters; without it, the rows themselves vote."""
     rows = without_copies(rows)
     m = Matrix(rows)
     if not len(m.names):
         return Model(-2.0, lexicon_weights())
-    names = [*LEXICONS, *PATTERNS]
-    votes = list(np.array([r.votes for r in rows]).T)
-    gold = np.array([0 if r.y is None else 1 if r.y > 0 else -1 for r in rows])
-    fixed = len(names)
-    part = np.arange(len(rows)) % PARTS
-    for kind in range(len(BEGINNINGS) + 1):
-        for k in range(PARTS):
-            mined = m.telling(((gold > 0) & (part != k)).astype(float), ((gold < 0) & (part != k)).astype(float), 5.0, 8.0)
-            mined = mined[m.kind[mined] == kind]
-            if len(mined):
-                names.append(f"{'words' if not kind else f'beginnings_{BEGINNINGS[kind - 1]}'}_{k}")
-                votes.append(np.where(m.hits(mined) > 0, 1, -1))
-    matrix = np.array(votes).T
-    if len(names) > fixed:
-        start = np.where(matrix[:, fixed:].mean(axis=1) > -0.9, 0.9, 0.02)
+    voters = Voters(mined_voters(rows, m))
+    own = np.zeros(len(rows), np.int64)
+    for k in range(voters.fixed):
+        own |= np.array([r.votes[k] for r in rows], np.int64) << k
+    of_feature = np.array([voters.by_feature.get(int(f), 0) for f in m.names], np.int64)
+    np.bitwise_or.at(own, m.row, of_feature[m.at])
+    if cast_votes is None:
+        gold = np.array([0 if r.y is None else 1 if r.y > 0 else -1 for r in rows])
+        ballots, n = own, np.ones(len(rows))
+    else:
+        ballots, gold, n = cast_votes(voters)
+    votes = voters.votes(ballots)
+    if len(voters.names) > voters.fixed:
+        start = np.where(votes[:, voters.fixed :].max(axis=1) > 0, 0.9, 0.02)
     else:
-        start = np.where(matrix.max(axis=1) > 0, 0.9, 0.05)
-    post, rates, companions = label_model(matrix, start.astype(float), gold)
-    bias, weights = classifier(m, post)
+        start = np.where(votes.max(axis=1) > 0, 0.9, 0.05)
+    fitted = label_model(votes, start, gold, n)
+    bias, weights = classifier(m, fitted.posterior(voters.votes(own)))
     if not weights:
         bias, weights = -2.0, lexicon_weights()
-    return Model(bias, weights, {n: (float(rates[i, 1, 2]), float(rates[i, 0, 2])) for i, n in enumerate(names)}, {n: int(companions[i]) for i, n in enumerate(names)})
+    together = 1 / fitted.weights()
+    return Model(bias, weights, {x: (float(fitted.rates[i, 1, 2]), float(fitted.rates[i, 0, 2])) for i, x in enumerate(voters.names)}, {x: float(together[i]) for i, x in enumerate(voters.names)})
 
 
 def without_copies(rows: list[Row]) -> list[Row]:
@@ -284,7 +389,7 @@ def calibrated(logit: np.ndarray, post: np.ndarray, rounds: int = 50) -> tuple[f
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    return train(sample(docs, labels, key, text, label))
+    return train(sample(docs, labels, key, text, label), lambda voters: cast(docs, labels, voters, key, text, label))
 
 
 class Scores(dict):
