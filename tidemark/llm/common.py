@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 import zlib
@@ -82,12 +84,30 @@ class BitFilter:
     def words(self) -> np.ndarray:
         held = BitFilter._unpacked
         if self.tag not in held:
-            if len(held) >= 8:
+            if len(held) >= 4:
                 held.clear()
             held[self.tag] = np.frombuffer(zlib.decompress(self.blob), np.uint64)
         return held[self.tag]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session sends whole texts to Python by so many rows, not 10,000: a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def released(batches):
+    """The batches of a task; after the last, the worker gives back what it held, as it may wait long for its next task."""
+    try:
+        yield from batches
+    finally:
+        BitFilter._unpacked.clear()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash (multiply-xorshift), vectorised; overflow wraps."""
     h = h ^ (h >> np.uint64(33))

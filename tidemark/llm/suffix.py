@@ -39,11 +39,12 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BitFilter, hash_filter, in_filter, merged_bits, mix64, sliced, stored, texts
+from tidemark.llm.common import BitFilter, hash_filter, in_filter, merged_bits, mix64, released, sliced, small_batches, stored, texts
 
 GRAM = 64
 LOG2_BITS = 27
@@ -57,7 +58,7 @@ PIECE = 1 << 20
 SAMPLE = 4_000
 RANGES_A_PARTITION = 2
 #: Bytes of strings, with their places, that make a run.
-RUN = 64 << 20
+RUN = 32 << 20
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0x2545F4914F6CDD1D)]
 
 
@@ -162,12 +163,32 @@ def tallied(hashes: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
 
-def counts(body: DataFrame, length: int, piece: int, hashes) -> DataFrame:
+class Distinct:
+    """Texts of at least ``length`` bytes, each distinct one once: those that occur once, straight from the source, and one copy of the others.
+
+    What is a copy is told in the Python worker that works on the rows, as a second one for each task would take as much memory again.
+    """
+
+    def __init__(self, long: DataFrame, one_each: DataFrame, copied: Shared, number: int):
+        self.rows = long.withColumn("own", F.lit(False)).unionByName(one_each.withColumn("own", F.lit(True))).select("body", "t1", "t2", "own")
+        self.copied, self.number = copied, number
+
+    def apply(self, of, schema: str, some=None) -> DataFrame:
+        """mapInArrow of batches of (body, t1, t2), of some rows or all."""
+        copied = self.copied
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return released(of(b.filter(pc.or_(b.column(3), pa.array(~copied.hit(b.column(1).to_numpy().view(np.uint64))))) for b in sliced(batches, 512)))
+
+        return (self.rows if some is None else self.rows.filter(some)).mapInArrow(run, schema)
+
+
+def counts(body: Distinct, length: int, piece: int, hashes) -> DataFrame:
     """(h, n): hashes that ``hashes`` makes of chunks, with how often each occurs."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in sliced(batches, 1024):
+        for batch in batches:
             for raws, _, _ in pieces(texts(batch, 0), length, piece):
                 held.append(hashes(Chunks(raws, length)))
                 size += len(held[-1])
@@ -177,10 +198,10 @@ def counts(body: DataFrame, length: int, piece: int, hashes) -> DataFrame:
         if size:
             yield tallied(held)
 
-    return body.select("body").mapInArrow(found, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return body.apply(found, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def anchor_filters(body: DataFrame, length: int, piece: int, log2_bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+def anchor_filters(body: Distinct, length: int, piece: int, log2_bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """Filters of the anchors that occur at least twice, and of those that occur more than ``hot`` times."""
     bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - log2_bits}) & 63 AS int))")
     again = counts(body, length, piece, lambda c: c.value).filter("n > 1").groupBy(F.shiftrightunsigned("h", 64 - log2_bits + 6).alias("w"))
@@ -486,9 +507,9 @@ class Sorter:
                 yield written(c.joined[p : a + n - 1 + self.length], c.joined[a:p]), of[i], offsets[i] + p - s
 
 
-def spans(body: DataFrame, rows: int, length: int, piece: int, log2_bits: int, hot: int) -> DataFrame:
-    """(t1, t2, a, b): bytes [a, b) of the text with these hashes are repeated. ``body``: t1, t2, body of distinct texts, about ``rows``."""
-    spark = body.sparkSession
+def spans(body: Distinct, length: int, piece: int, log2_bits: int, hot: int) -> DataFrame:
+    """(t1, t2, a, b): bytes [a, b) of the text with these hashes are repeated."""
+    spark = body.rows.sparkSession
     again, often = anchor_filters(body, length, piece, log2_bits, hot)
     sorter = Sorter(length, piece, Shared(spark, again))
     if often.any():
@@ -497,20 +518,20 @@ def spans(body: DataFrame, rows: int, length: int, piece: int, log2_bits: int, h
         sorter.hot, sorter.windows = held, Shared(spark, hash_filter(windows, log2_bits))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 64):
+        for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sorted({group_of(s) for s, _, _ in sorter.strings(texts(batch, 0))})[::4], pa.binary())], ["s"])
 
-    keep = max(1, rows // SAMPLE)
-    sample = sorted(body.filter(F.pmod("t2", F.lit(keep)) == 0).select("body").mapInArrow(sampled, "s binary").limit(16 * SAMPLE).toArrow().column("s").to_pylist())
+    keep = max(1, body.number // SAMPLE)
+    sample = sorted(body.apply(sampled, "s binary", F.pmod("t2", F.lit(keep)) == 0).limit(16 * SAMPLE).toArrow().column("s").to_pylist())
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = RANGES_A_PARTITION * partitions
     shared = spark.sparkContext.broadcast(sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else [])
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Builder()
-        for batch in sliced(batches, 256):
-            t = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            for string, i, at in sorter.strings(texts(batch, 2)):
+        for batch in batches:
+            t = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            for string, i, at in sorter.strings(texts(batch, 0)):
                 held.add(string, t[i], at)
             if held.size > RUN:
                 yield from held.rows(shared.value)
@@ -536,10 +557,10 @@ def spans(body: DataFrame, rows: int, length: int, piece: int, log2_bits: int, h
                 some = np.flatnonzero(after)
                 yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (t1, t2, at - before, at + after)], ["t1", "t2", "a", "b"])
 
-    table = stored(body.select("t1", "t2", "body").mapInArrow(sorted_runs, "run long, range int, strings binary, places binary"))
+    table = stored(body.apply(sorted_runs, "run long, range int, strings binary, places binary"))
     # runs go by their key range, places wait
-    reach = table.select("range", "run", "strings").repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(merged, "run long, range int, reach binary")
-    return table.select("run", "range", "places").join(reach, ["run", "range"]).select("places", "reach").mapInArrow(placed, "t1 long, t2 long, a long, b long")
+    reach = table.select("range", "run", "strings").repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(lambda batches: released(merged(batches)), "run long, range int, reach binary")
+    return table.select("run", "range", "places").join(reach, ["run", "range"]).select("places", "reach").mapInArrow(lambda batches: released(placed(batches)), "t1 long, t2 long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_bits: int = LOG2_BITS, hot: int = HOT, piece: int = PIECE) -> DataFrame:
@@ -547,6 +568,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_
     if length < GRAM + 24 or length > 60_000:
         raise ValueError(f"length must be from {GRAM + 24} to 60000")
     spark = docs.sparkSession
+    small_batches(spark)
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     body = F.coalesce(F.col(text), F.lit(""))
     hashes = {"__t1": F.xxhash64(body), "__t2": F.xxhash64(F.lit(1), body)}
@@ -557,11 +579,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_
     copies = stored(size.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("b").alias("b")).groupBy((F.col("n") > 1).alias("again"), F.when(F.col("n") > 1, F.col("t1")).alias("t1"), F.when(F.col("n") > 1, F.col("t2")).alias("t2")).agg(F.count("*").alias("texts"), F.max("b").alias("b")))
     distinct = copies.agg(F.sum("texts")).first()[0] or 0
     copies = copies.filter("again").select("t1", "t2", F.lit(0).cast("long").alias("a"), "b")
-    copied = Shared(spark, hash_filter(copies.select(F.col("t1").alias("h")), log2_bits))
+    copied = Shared(spark, hash_filter(copies.select(F.col("t1").alias("h")), log2_bits - 2))
     one_each = stored(long.filter(copied.column("t1")).dropDuplicates(["t1", "t2"]))
-    found = spans(long.filter(~copied.column("t1")).unionByName(one_each), distinct, length, piece, log2_bits, hot)
+    found = spans(Distinct(long, one_each, copied, distinct), length, piece, log2_bits, hot)
     by_text = stored(found.unionByName(copies).groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__spans")))
-    touched = Shared(spark, hash_filter(by_text.select(F.col("t1").alias("h")), log2_bits))
+    touched = Shared(spark, hash_filter(by_text.select(F.col("t1").alias("h")), log2_bits - 2))
     keyed = docs.select(*names).withColumns(hashes)
     joined = keyed.filter(touched.column("__t1")).join(by_text.withColumnsRenamed({"t1": "__t1", "t2": "__t2"}), ["__t1", "__t2"], "left").select(*names, "__spans")
     at = names.index(text)
@@ -587,7 +609,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_
 
     none = F.lit(0).cast("long")
     whole = keyed.filter(~touched.column("__t1")).select(*names, F.octet_length(body).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), body.cast("binary").alias("kept"))
-    return joined.mapInArrow(cut, schema).unionByName(whole)
+    return joined.mapInArrow(lambda batches: released(cut(batches)), schema).unionByName(whole)
 
 
 def summary(rows: DataFrame, key: str = "doc_id") -> DataFrame:
