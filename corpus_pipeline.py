@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lines, minhash, tokens, toxicity
+from tidemark.llm import decontaminate, lines, similar, tokens, toxicity
 from tidemark.llm.common import scratch, table
 from tidemark.llm.queries import tokenizer
 
@@ -29,7 +29,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity of 0.8 of five-word shingles) stays, the one with the smallest id."""
-    return minhash.one_of_each(docs)
+    return similar.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import hashlib
 import itertools
 import random
 
-from tidemark.llm import lines, minhash, simhash, suffix
+from tidemark.llm import lines, similar, simhash, suffix
 from tidemark.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, n_lines string, kept string"
@@ -166,9 +166,9 @@ def test_pipeline_joins_similar_documents_only(spark):
                 w[k] = f"x{len(rows)}"
             rows.append(" ".join(w))
     hub = text(200)
-    rows += [" ".join([*hub[:k], f"y{k}", *hub[k + 1 :]]) for k in range(0, 200, 3)]  # a bucket of over WHOLE nodes
+    rows += [" ".join([*hub[:k], f"y{k}", *hub[k + 1 :]]) for k in range(0, 200, 3)]  # a group that meets in many values
     rows += ["one two", "One\ttwo", "", None, rows[3].upper()]
-    sets = [minhash.shingles((x or "").encode()) for x in rows]
+    sets = [similar.shingles((x or "").encode()) for x in rows]
     root = list(range(len(rows)))
     for i, j in itertools.combinations(range(len(rows)), 2):
         if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):

@@ -1,6 +1,7 @@
 import pytest
 from conftest import DATA
 from oracle import same
+from test_models import contaminated
 
 from tidemark.llm.queries import oracle_sql, queries
 
@@ -12,7 +13,7 @@ def test_query_matches_sql(spark, name):
 
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline as p
-    from tidemark.llm import decontaminate, simhash, toxicity
+    from tidemark.llm import toxicity
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = {r["doc_id"]: r for r in p.run(spark, DATA).collect()}
@@ -34,16 +35,19 @@ def test_pipeline_against_its_stages(spark):
                 seen.add(k)
             kept.append(y)
         rows[i] = "\n".join(kept)
-    fps = {i: simhash.fingerprint((x or "").encode()) for i, x in rows.items()}
+    # near-duplicates: a similarity of five-word shingles of 0.8 or more
+    sets = {i: set(zip(*(w[k:] for k in range(5)))) if len(w := (x or "").encode().lower().split()) >= 5 else {tuple(w)} for i, x in rows.items()}
     root = {i: i for i in rows}
     ids = sorted(rows)
     for a in ids:
         for b in ids:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 2 and root[a] != root[b]:
+            if a < b and root[a] != root[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 old, new = max(root[a], root[b]), min(root[a], root[b])
                 root = {i: new if r == old else r for i, r in root.items()}
     rows = {i: x for i, x in rows.items() if root[i] == i}
-    index = decontaminate.Index([(r["item_id"], r["text"].encode()) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()], 0.8)
-    clean = {i for i, x in rows.items() if not (w := decontaminate.words_of((x or "").encode())) or not decontaminate.search(index, w, decontaminate.RADIUS)}
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    ids = sorted(rows)
+    bad = {ids[d] for d, _ in contaminated([rows[i] for i in ids], bench)}
+    clean = set(rows) - bad
     assert set(out) == clean
     assert all(r["round_trip"] for r in out.values())
