@@ -4,6 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
+from tidemark.operators import ordering
 from tidemark.sources.tables import mock_trades
 
 WHEN = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
@@ -31,12 +32,24 @@ def test_binance_depth(spark):
     assert [tuple(x) for x in r["bids"]] == [(1.5, 2.0), (1.4, 0.0)] and r["asks"] == [] and (r["event_time_millis"], r["event_type"]) == (9, "depthUpdate")
 
 
+def test_depth_follows_its_snapshot(spark):
+    """Raw depth updates and REST snapshots, parsed and spliced; one snapshot is too old."""
+    rows = [("binance", "depth", json.dumps({"e": "depthUpdate", "E": 40 + i, "s": s, "U": u, "u": v, "b": [["1", "2"]], "a": []}), WHEN) for i, (s, u, v) in enumerate([("P", 10, 14), ("P", 15, 19), ("P", 20, 22), ("P", 23, 23), ("Q", 30, 35), ("Q", 36, 39)])]
+    deltas = parse.binance_depth_ids(spark.createDataFrame(rows, "exchange string, channel string, value string, timestamp timestamp"))
+    answers = [("P", json.dumps({"lastUpdateId": 17, "bids": [["3", "1"]], "asks": [["4", "1"]]})), ("Q", json.dumps({"lastUpdateId": 20, "bids": [], "asks": []}))]
+    snapshots = parse.binance_snapshot(spark.createDataFrame(answers, "key string, value string"), F.lit(7))
+    assert [(r["symbol"], r["last_update_id"], r["event_time_millis"], len(r["bids"])) for r in snapshots.orderBy("symbol").collect()] == [("P", 17, 7, 1), ("Q", 20, 7, 0)]
+    kept, stale = ordering.spliced(deltas, snapshots, ["symbol"])
+    assert sorted((r["symbol"], r["first_id"], r["last_id"]) for r in kept.collect()) == [("P", 15, 19), ("P", 20, 22), ("P", 23, 23)]
+    assert [r["symbol"] for r in stale.collect()] == ["Q"]
+
+
 def test_coinbase(spark):
-    (r,) = ticks(spark, "coinbase", "ticker", {"type": "ticker", "product_id": "ETH-USD", "price": "144.22", "open_24h": "1", "volume_24h": "30", "low_24h": "2", "high_24h": "3", "time": "2022-10-19T23:28:22.061769Z", "sequence": 7})
-    assert (r["price"], r["open"], r["low"], r["high"], r["close"], r["volume"], r["event_ts_millis"], r["seq_id"]) == (144.22, 1.0, 2.0, 3.0, 144.22, 30.0, 1666222102061, 7)
-    snap, update = books(spark, "coinbase", "level2", {"type": "snapshot", "product_id": "E", "bids": [["1", "2"]], "asks": [["3", "4"]]}, {"type": "l2update", "product_id": "E", "time": "2022-10-19T23:28:22Z", "changes": [["buy", "1", "0"], ["sell", "2", "5"]]})
+    (r,) = ticks(spark, "coinbase", "ticker", {"type": "ticker", "product_id": "ETH-USD", "price": "2311.75", "open_24h": "1", "volume_24h": "30", "low_24h": "2", "high_24h": "3", "time": "2023-03-05T11:07:41.250500Z", "sequence": 7})
+    assert (r["price"], r["open"], r["low"], r["high"], r["close"], r["volume"], r["event_ts_millis"], r["seq_id"]) == (2311.75, 1.0, 2.0, 3.0, 2311.75, 30.0, 1678014461250, 7)
+    snap, update = books(spark, "coinbase", "level2", {"type": "snapshot", "product_id": "E", "bids": [["1", "2"]], "asks": [["3", "4"]]}, {"type": "l2update", "product_id": "E", "time": "2023-03-05T11:07:41Z", "changes": [["buy", "1", "0"], ["sell", "2", "5"]]})
     assert (snap["event_type"], snap["event_time_millis"]) == ("snapshot", 0) and tuple(snap["bids"][0]) == (1.0, 2.0)
-    assert tuple(update["bids"][0]) == (1.0, 0.0) and tuple(update["asks"][0]) == (2.0, 5.0) and update["event_time_millis"] == 1666222102000
+    assert tuple(update["bids"][0]) == (1.0, 0.0) and tuple(update["asks"][0]) == (2.0, 5.0) and update["event_time_millis"] == 1678014461000
 
 
 def test_kraken(spark):
@@ -57,7 +70,8 @@ def test_small_functions(spark):
     import hashlib
 
     assert df.select(parse.content_hash(F.col("x"), F.lit(0.5))).first()[0] == hashlib.sha256(b"1.00000000|0.50000000").hexdigest()
-    message = spark.createDataFrame([("e", 0.0, 5)], "exchange string, vwap_price double, end_ts_ms long").select(parse.to_message("tick", "exchange", "vwap_price", "end_ts_ms")).first()[0]
+    push = spark.createDataFrame([("e", 0.0, 5, 0.0, 0)], "exchange string, vwap double, end_ts_ms long, ema double, ticks int")
+    message = push.select(parse.to_message(push, "tick", *push.columns)).first()[0]
     assert json.loads(message) == {"message_type": "tick", "exchange": "e", "end_ts_ms": 5}
 
 

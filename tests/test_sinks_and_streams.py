@@ -15,9 +15,9 @@ def tick_rows(n, start=0):
 def test_second_write_adds_nothing(spark, tmp_path):
     rows = metrics.flush_rows(spark.createDataFrame(tick_rows(40), TICK.ddl), chosen("5s")).persist()
     path = str(tmp_path / "agg")
-    assert sinks.write_aggregates(rows, path).count() == rows.count()
+    assert sinks.write_aggregates(rows, path) == rows.count()
     n = spark.read.parquet(path).count()
-    sinks.write_aggregates(rows, path)
+    assert sinks.write_aggregates(rows, path) == 0
     assert spark.read.parquet(path).count() == n == rows.count()
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tidemark import schemas as S
 
@@ -66,9 +67,16 @@ def binance_depth(records: DataFrame) -> DataFrame:
     return _book(records, "binance", "depth", text("$.s"), pairs(text("$.b")), pairs(text("$.a")), whole(text("$.E")), text("$.e"))
 
 
+def binance_depth_ids(records: DataFrame) -> DataFrame:
+    """Depth updates with the ids of their first and last change, for splicing after a snapshot."""
+    ids = records.withColumns({"first_id": whole(text("$.U")), "last_id": whole(text("$.u"))})
+    return _book(ids, "binance", "depth", text("$.s"), pairs(text("$.b")), pairs(text("$.a")), whole(text("$.E")), text("$.e"), "first_id", "last_id")
+
+
 def binance_snapshot(records: DataFrame, now_ms: Column) -> DataFrame:
     """The REST answer: lastUpdateId, bids and asks of the symbol in the record's key."""
-    return _book(records, "binance", "depth", F.col("key"), pairs(text("$.bids")), pairs(text("$.asks")), now_ms, F.lit("snapshot")).withColumn("last_update_id", F.lit(None).cast("long"))
+    known_id = records.withColumn("last_update_id", whole(text("$.lastUpdateId")))
+    return _book(known_id, "binance", "depth", F.col("key"), pairs(text("$.bids")), pairs(text("$.asks")), now_ms, F.lit("snapshot"), "last_update_id")
 
 
 def coinbase_ticker(records: DataFrame) -> DataFrame:
@@ -105,9 +113,9 @@ def kraken_book(records: DataFrame) -> DataFrame:
     return _book(j, "kraken", "book", F.col("j.symbol"), level("bids"), level("asks"), F.when(update, rfc3339_ms(F.col("j.timestamp"))).otherwise(0), F.col("k.type"))
 
 
-def _book(records: DataFrame, exchange: str, channel: str, sym: Column, bids: Column, asks: Column, ts: Column, kind: Column) -> DataFrame:
+def _book(records: DataFrame, exchange: str, channel: str, sym: Column, bids: Column, asks: Column, ts: Column, kind: Column, *more: str) -> DataFrame:
     cols = {"exchange": F.lit(exchange), "channel": F.lit(channel), "symbol": sym, "bids": bids, "asks": asks, "event_time_millis": ts, "event_type": kind}
-    return records.select(*(cols[n].cast(S.BOOK[n]).alias(n) for n in S.BOOK.names))
+    return records.select(*(cols[n].cast(S.BOOK[n]).alias(n) for n in S.BOOK.names), *more)
 
 
 #: Parsers by lower-case exchange:channel.
@@ -135,6 +143,7 @@ def content_hash(*values: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.format_string("%.8f", v) for v in values)), 256)
 
 
-def to_message(kind: str, *columns: str) -> Column:
-    """The JSON of a live push: message_type and the columns, zeros left out."""
-    return F.to_json(F.struct(F.lit(kind).alias("message_type"), *(F.when(F.col(c) != 0, F.col(c)).alias(c) if c.endswith(("price", "volume", "_ms")) else F.col(c) for c in columns)))
+def to_message(rows: DataFrame, kind: str, *columns: str) -> Column:
+    """The JSON of a live push: message_type and the columns, zeros of numbers left out."""
+    numbers = {f.name for f in rows.schema if isinstance(f.dataType, NumericType)}
+    return F.to_json(F.struct(F.lit(kind).alias("message_type"), *(F.when(F.col(c) != 0, F.col(c)).alias(c) if c in numbers else F.col(c) for c in columns)))

@@ -10,19 +10,24 @@ from tidemark.operators.series import new_rows, split_valid
 from tidemark.schemas import AGG_KEY, BOOK_FLUSH_KEY, BOOK_LEVEL_KEY
 
 DAY_COLUMN = "event_date"
+#: Tasks that share a day of a batch.
+FILES_A_DAY = 8
 
 
 def existing(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        # nothing there yet, or a folder without a file; anything else is an error
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def append_new(batch: DataFrame, path: str, key: list[str], day_of: str) -> DataFrame:
-    """Appends rows whose key isn't there yet; a batch that is written again adds nothing. Returns what was new.
+def append_new(batch: DataFrame, path: str, key: list[str], day_of: str) -> int:
+    """Appends rows whose key isn't there yet; a batch that is written again adds nothing. Returns how many were new.
 
-    Only the days of the batch are read of the target. Within a day, rows are sorted by key, so row groups have narrow ranges.
+    Only the days of the batch are read of the target. A day is written by up to ``FILES_A_DAY`` tasks, each of which sorts its rows by key.
     """
     spark = batch.sparkSession
     rows = batch.withColumn(DAY_COLUMN, F.to_date(day_of)).persist()
@@ -38,13 +43,18 @@ def append_new(batch: DataFrame, path: str, key: list[str], day_of: str) -> Data
             # distinct days of one batch: a handful of rows, read by dynamic partition pruning
             fresh = new_rows(rows, target.join(F.broadcast(days), DAY_COLUMN, "left_semi"), key, order[:1])
         fresh = fresh.persist()
-        fresh.repartition(DAY_COLUMN).sortWithinPartitions(*key).write.mode("append").partitionBy(DAY_COLUMN).parquet(path)
-        return fresh
+        try:
+            n = fresh.count()
+            dealt = fresh.repartition(DAY_COLUMN, F.pmod(F.xxhash64(*key), F.lit(FILES_A_DAY)))
+            dealt.sortWithinPartitions(DAY_COLUMN, *key).write.mode("append").partitionBy(DAY_COLUMN).parquet(path)
+            return n
+        finally:
+            fresh.unpersist()
     finally:
         rows.unpersist()
 
 
-def write_aggregates(batch: DataFrame, path: str) -> DataFrame:
+def write_aggregates(batch: DataFrame, path: str) -> int:
     return append_new(batch, path, AGG_KEY, "start_ts")
 
 
