@@ -54,8 +54,8 @@ def flush_job(ticks: DataFrame, windows: list[WindowDef], path: str, checkpoint:
     return start(rows, write, checkpoint, once)
 
 
-def rebuild(ticks: DataFrame, windows: list[WindowDef], path: str) -> DataFrame:
-    """All 24 columns from stored ticks in batch: what a replay of the whole log gives."""
+def rebuild(ticks: DataFrame, windows: list[WindowDef], path: str) -> int:
+    """All 24 columns from stored ticks in batch: what a replay of the whole log gives. Returns how many rows were new."""
     from tidemark.sources.sinks import write_aggregates
 
     return write_aggregates(flush_rows(ticks, windows), path)
