@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import settled, texts
+from tidemark.llm.common import Shared, hash_filter, settled, texts
 from tidemark.llm.components import connected_components
 
 #: Shingles whose bits are unpacked at once.
 STEP = 1 << 15
+FILTER_BITS = 25
 
 
 def fingerprint(raw: bytes, words: int = 3, seed: int = 42) -> int:
@@ -94,13 +95,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def first_of_each(docs: DataFrame, named: DataFrame, key: str, text: str) -> DataFrame:
-    """One row of each component, all columns. ``named``: __key, __hash (``text_hash``) and __root of each row of ``docs``."""
+    """One row of each component, all columns. ``named``: __key, __hash (``text_hash``) and __root of each row of ``docs``.
+
+    Only rows of components of several rows are shuffled with their texts; a bit filter of those tells, and the others pass.
+    """
     rank = F.struct(F.col("__key").isNull().alias("last"), F.col("__key").alias("k"), F.col("__hash").alias("h"))
     # equal ids and texts are in one component, so these two name one component each
-    chosen = named.groupBy("__root").agg(F.min(rank).alias("r")).select(F.col("r.k").alias("__k"), F.col("r.h").alias("__h"))
-    hashed = docs.withColumn("__hash", text_hash(text))
-    first = hashed.join(chosen, hashed[key].eqNullSafe(chosen["__k"]) & (hashed["__hash"] == chosen["__h"]), "left_semi")
-    return first.dropDuplicates([key, "__hash"]).drop("__hash")
+    several = settled(named.groupBy("__root").agg(F.min(rank).alias("r"), F.count("*").alias("n")).filter("n > 1"))
+    row = F.xxhash64("__key", "__hash")
+    touched = Shared(docs.sparkSession, hash_filter(named.join(several, "__root").select(row.alias("h")).distinct(), FILTER_BITS))
+    chosen = several.select(F.col("r.k").alias("__k"), F.col("r.h").alias("__h"))
+    # of rows that are alone, what the filter passes by mistake must stay, too
+    alone = named.join(several, "__root", "left_anti").select(F.col("__key").alias("__k"), F.col("__hash").alias("__h"))
+    names = docs.columns
+    hashed = docs.withColumn("__hash", text_hash(text)).withColumn("__row", F.xxhash64(key, "__hash"))
+    suspects = hashed.filter(touched.column("__row"))
+    first = suspects.join(chosen.union(alone), suspects[key].eqNullSafe(F.col("__k")) & (suspects["__hash"] == F.col("__h")), "left_semi").dropDuplicates([key, "__hash"])
+    return first.select(*names).unionByName(hashed.filter(~touched.column("__row")).select(*names))
 
 
 def text_hash(text: str):

@@ -7,7 +7,7 @@ have millions of values. So there are ``TABLES`` independent fingerprints of ``B
 2. Every node emits, for each of its fingerprints, all values at most one bit away. Nodes are shuffled on these values; two that meet
    are at most two bits apart in that fingerprint, and any two that are do meet. A pair of similarity 0.8 meets with a chance of
    0.978, of 0.85 with 0.997, of 0.9 with 0.9999. 56 more bits and the size of the set travel along: pairs that differ in over ``FAR``
-   of these bits (0.8: a chance of 0.000001) or too much in size are no candidates.
+   of these bits (0.8: a chance of 0.0003) or too much in size are no candidates.
 3. Verification, by the exact similarity of two texts, goes in rounds, as groups are wanted, not all pairs. In each, a node is tried against
    one node of another group that it meets (a neighbour on a ring whose order changes with the value and the round), so a round has no
    more pairs than nodes, and most of a large group is joined soon. What is left in the end, candidates that are still in different groups and
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, settled, sliced, small_batches, stored, texts
+from tidemark.llm.common import Shared, hash_filter, mix64, settled, sliced, small_batches, stored, texts
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import first_of_each, text_hash
+from tidemark.llm.simhash import FILTER_BITS, first_of_each, text_hash
 
 TABLES = 12
 BITS = 24
 MORE = 56
-FAR = 22
+FAR = 18
 ROUNDS = 3
 #: A step of the size code is a factor of so much: sizes that differ by a factor of 1.25 are three steps apart at most.
 STEP = 1.12
@@ -196,8 +196,9 @@ def rooted(docs: DataFrame, key: str, text: str, words: int, least: float) -> Da
     distinct = slim.groupBy("node").agg(F.first("fps").alias("fps"), F.first("more").alias("more"), F.min("__hash").alias("h"))
     members = stored(meetings(distinct.repartition(partitions, "node").select("node", "fps", "more"), partitions))
     # one text for each set that meets another
-    hashes = distinct.select("node", "h").join(members.select("node").distinct(), "node")
-    bodies = stored(docs.select(text_hash(text).alias("h"), F.col(text).alias("body")).join(hashes, "h").dropDuplicates(["node"]).select("node", "body"))
+    hashes = settled(distinct.select("node", "h").join(members.select("node").distinct(), "node"))
+    wanted = Shared(spark, hash_filter(hashes.select("h"), FILTER_BITS))
+    bodies = stored(docs.select(text_hash(text).alias("h"), F.col(text).alias("body")).filter(wanted.column("h")).join(hashes, "h").dropDuplicates(["node"]).select("node", "body"))
     labels = None
     tried = None
     for salt in [*range(ROUNDS), None]:

@@ -40,11 +40,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import BitFilter, hash_filter, in_filter, merged_bits, mix64, released, sliced, small_batches, stored, texts
+from tidemark.llm.common import Shared, hash_filter, merged_bits, mix64, released, sliced, small_batches, stored, texts
 
 GRAM = 64
 LOG2_BITS = 27
@@ -209,26 +209,6 @@ def anchor_filters(body: Distinct, length: int, piece: int, log2_bits: int, hot:
     return merged_bits(words.select(["w", "bits"]).to_batches(), log2_bits), merged_bits(words.select(["w", "hot"]).to_batches(), log2_bits)
 
 
-class Shared:
-    """A broadcast filter."""
-
-    def __init__(self, spark, words: np.ndarray):
-        self.shared = spark.sparkContext.broadcast(BitFilter(words))
-
-    def hit(self, hashes: np.ndarray) -> np.ndarray:
-        words = self.shared.value.words
-        return in_filter(words, hashes, len(words).bit_length() + 5)
-
-    def column(self, column: str) -> Column:
-        """Whether a column of signed hashes is in the filter. Only that column goes to Python."""
-
-        @F.arrow_udf("boolean")
-        def hit(h: pa.Array) -> pa.Array:
-            return pa.array(self.hit(h.to_numpy(zero_copy_only=False).view(np.uint64)))
-
-        return hit(column)
-
-
 def common(a: bytes, b: bytes, at: int) -> int:
     """Length of the prefix that a and b share; they share ``at`` bytes at least, which aren't read."""
     n = min(len(a), len(b))
