@@ -67,22 +67,38 @@ def microprice() -> Column:
     return F.try_divide(F.col("best_bid_price") * F.col("best_ask_volume") + F.col("best_ask_price") * F.col("best_bid_volume"), F.col("best_bid_volume") + F.col("best_ask_volume"))
 
 
+def dyadic(start: str, end: str) -> Column:
+    """The fewest nodes (size, at) that cover start up to before end: node (k, a) is a * 2^k up to before (a + 1) * 2^k."""
+    left, right = f"shiftright({start} + shiftleft(1L, k) - 1, k)", f"shiftright({end}, k)"
+    pick = lambda odd, at: f"if({left} < {right} AND {odd} % 2 = 1, named_struct('size', k, 'at', {at}), NULL)"
+    return F.expr(f"filter(flatten(transform(sequence(0, 41), k -> array({pick(left, left)}, {pick(right, right + ' - 1')}))), x -> x IS NOT NULL)")
+
+
 def flushes(changes: DataFrame, cadence_ms: int = 10_000, n: int = 15, sequence: str = "level_index") -> tuple[DataFrame, DataFrame]:
     """Header and level rows of every book at each flush of a grid on which it changed.
 
-    A flush sees every price's last change up to it. A price holds from its change's period until the period of its next change, so each
-    change is spread over the flushes that see it, and only over those on which its book changed.
+    A flush sees every price's last change up to it. A price holds from its change's period until the period of its next change. Such a
+    span is cut into at most two dyadic nodes a size, each node keeps the best n levels of a side that hold throughout it (a level with n
+    better ones there is in no top n inside it), and a flush picks from the nodes above it. Rows grow with the logarithm of the number of
+    flushes, not with levels times flushes.
     """
     period = F.floor(F.col("event_time_millis") / F.lit(cadence_ms))
     last = changes.withColumn("period", period).groupBy(*BOOK_KEY, "side", "price", "period").agg(F.max_by("volume", F.struct("event_time_millis", sequence)).alias("volume"), F.max("event_time_millis").alias("event_time_millis"))
     until = F.lead("period").over(W.partitionBy(*BOOK_KEY, "side", "price").orderBy("period"))
     held = last.withColumn("__until", until).filter(F.col("volume") > 0)
-    grid = changes.select(*BOOK_KEY, period.alias("__p")).distinct()
-    seen = held.join(grid, BOOK_KEY).filter((F.col("__p") >= F.col("period")) & (F.col("__until").isNull() | (F.col("__p") < F.col("__until"))))
-    levels = seen.select(*BOOK_KEY, F.col("__p").alias("period"), "side", "price", "volume", "event_time_millis")
+    grid = changes.select(*BOOK_KEY, period.alias("period")).distinct()
+    ends = grid.groupBy(*BOOK_KEY).agg(F.min("period").alias("__lo"), (F.max("period") + 1).alias("__hi"))
+    spans = held.join(ends, BOOK_KEY).withColumn("__until", F.coalesce("__until", "__hi"))
+    nodes = spans.select(*BOOK_KEY, "side", "price", "volume", "event_time_millis", F.explode(dyadic("period", "__until")).alias("__n")).select("*", "__n.size", "__n.at").drop("__n")
+    node = [*BOOK_KEY, "size", "at"]
+    sizes = F.sequence(F.lit(0), F.floor(F.log2(F.col("__hi") - F.col("__lo"))).cast("int"))
+    above = grid.join(ends, BOOK_KEY).select(*BOOK_KEY, "period", F.explode(sizes).alias("size")).withColumn("at", F.expr("shiftright(period, size)"))
     by = [*BOOK_KEY, "period"]
-    headers = best(levels, by)
-    kept = top_levels(levels, n, by).drop("event_time_millis").join(headers.select(*by, "event_time_millis"), by)
+    levels = above.join(top_levels(nodes, n, node).drop("level_index", "event_time_millis"), node).drop("size", "at")
+    times = above.join(nodes.groupBy(*node).agg(F.max("event_time_millis").alias("event_time_millis")), node).groupBy(*by).agg(F.max("event_time_millis").alias("event_time_millis"))
+    tops = top_levels(levels, n, by)
+    headers = best(tops.filter(F.col("level_index") == 0).withColumn("event_time_millis", F.lit(None).cast("long")), by).drop("event_time_millis").join(times, by)
+    kept = tops.join(headers.select(*by, "event_time_millis"), by)
     stamp = F.timestamp_millis("event_time_millis")
     header = headers.select(*BOOK_KEY, "event_time_millis", stamp.alias("event_time"), "best_bid_price", "best_bid_volume", "best_ask_price", "best_ask_volume", "spread")
     level = kept.select(*BOOK_KEY, stamp.alias("event_time"), "level_index", "side", "price", "volume")

@@ -159,34 +159,39 @@ def composed(rows: DataFrame, by: list[str], position: str, a: str, b: str, out:
     return joined.groupBy(*key).applyInPandas(lambda pdf: run(pdf)[columns], f"{result}, {out} double")
 
 
-def folded(values: Column, alpha: float) -> Column:
+def folded(values: Column, alpha: Column) -> Column:
     """(a, b) of y -> a * y + b after the values of an array, in order: b = alpha * x + (1 - alpha) * b."""
     start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     return F.aggregate(values, start, lambda s, x: F.struct((s["a"] * (1 - alpha)).alias("a"), (s["b"] * (1 - alpha) + alpha * x).alias("b")))
 
 
-def first_ticks(ticks: DataFrame) -> DataFrame:
-    """The order of each key's first tick, where recurrences start."""
-    return ticks.groupBy(*KEY).agg(F.min(order()).alias("__first"))
+def chained(steps: Column) -> Column:
+    """(a, b) of an array of steps (a, b), one after the other."""
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    return F.aggregate(steps, start, lambda s, x: F.struct((s["a"] * x["a"]).alias("a"), (x["a"] * s["b"] + x["b"]).alias("b")))
 
 
 def recurrences(ticks: DataFrame, value: Column, alpha: Callable[[WindowDef], float], windows: list[WindowDef], out: str) -> DataFrame:
-    """``out`` at the end of each period with ticks: y = alpha * x + (1 - alpha) * y_before; the first value is x itself."""
-    marked = ticks.withColumn("__x", value).join(first_ticks(ticks), KEY)
-    result = None
+    """``out`` at the end of each period with ticks: y = alpha * x + (1 - alpha) * y_before; the first value is x itself.
+
+    All windows in one plan. Ticks meet once, in slots that divide every cadence; a slot gives one linear step a window, a period chains
+    the steps of its slots, and ``composed`` the periods. No list is longer than a slot's ticks or a period's slots.
+    """
+    slot_ms = gcd(*(w.cadence_ms for w in windows))
+    slots = ticks.select(*KEY, F.floor(F.col("event_ts_millis") / F.lit(slot_ms)).alias("slot"), F.struct(order().alias("o"), value.alias("x")).alias("t"))
+    lists = slots.groupBy(*KEY, "slot").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["x"]).alias("xs"))
+    firsts = lists.groupBy(*KEY).agg(F.min("slot").alias("__first"))
+    smoothing = F.lit(None)
     for w in windows:
-        p = marked.withColumn("period", period(F.col("event_ts_millis"), F.lit(w.cadence_ms)))
-        lists = p.groupBy(*KEY, "period").agg(F.transform(F.array_sort(F.collect_list(F.struct(order().alias("o"), F.col("__x").alias("x")))), lambda s: s["x"]).alias("__xs"), F.min(order()).alias("__o"), F.first("__first").alias("__first"))
-        begins = F.col("__o") == F.col("__first")
-        rest = F.when(begins, F.slice("__xs", 2, 1 << 30)).otherwise(F.col("__xs"))
-        step = lists.withColumn("__ab", folded(rest, alpha(w)))
-        a = F.when(begins, F.lit(0.0)).otherwise(F.col("__ab.a"))
-        b = F.when(begins, F.col("__ab.a") * F.col("__xs")[0] + F.col("__ab.b")).otherwise(F.col("__ab.b"))
-        small = step.select(*KEY, "period", a.alias("__a"), b.alias("__b"))
-        rows = composed(small, KEY, "period", "__a", "__b", out).select(*KEY, "period", out)
-        rows = labelled(rows.withColumns({"window_id": F.lit(w.id), "duration_ms": F.lit(w.duration_ms).cast("long"), "cadence_ms": F.lit(w.cadence_ms).cast("long"), "bucket_ms": F.lit(w.bucket_ms).cast("long")}))
-        result = rows if result is None else result.unionByName(rows)
-    return result
+        smoothing = F.when(F.col("window_id") == w.id, F.lit(alpha(w))).otherwise(smoothing)
+    rows = expanded(lists.join(firsts, KEY).withColumn("__begins", F.col("slot") == F.col("__first")), windows)
+    shape = ["window_id", "duration_ms", "cadence_ms", "bucket_ms"]
+    step = rows.withColumn("__s", folded(F.when(F.col("__begins"), F.slice("xs", 2, 1 << 30)).otherwise(F.col("xs")), smoothing.cast("double")))
+    a = F.when(F.col("__begins"), F.lit(0.0)).otherwise(F.col("__s.a"))
+    b = F.when(F.col("__begins"), F.col("__s.a") * F.col("xs")[0] + F.col("__s.b")).otherwise(F.col("__s.b"))
+    steps = step.select(*KEY, *shape, period(F.col("slot") * F.lit(slot_ms), F.col("cadence_ms")).alias("period"), F.struct("slot", a.alias("a"), b.alias("b")).alias("s"))
+    periods = steps.groupBy(*KEY, *shape, "period").agg(chained(F.array_sort(F.collect_list("s"))).alias("__s"))
+    return labelled(composed(periods.select(*KEY, *shape, "period", F.col("__s.a").alias("__a"), F.col("__s.b").alias("__b")), [*KEY, *shape], "period", "__a", "__b", out).drop("__a", "__b"))
 
 
 def ema(ticks: DataFrame, windows: list[WindowDef]) -> DataFrame:
@@ -194,11 +199,18 @@ def ema(ticks: DataFrame, windows: list[WindowDef]) -> DataFrame:
 
 
 def true_range(ticks: DataFrame) -> DataFrame:
-    """Adds __tr: high - low for a key's first tick, else the greatest of it and the distances from the close before."""
-    w = W.partitionBy(*KEY).orderBy("event_ts_millis", "seq_id")
-    before = F.lag("close").over(w)
+    """Adds __tr: high - low for a key's first tick, else the greatest of it and the distances from the close before.
+
+    Ticks are looked at in hours; the first of an hour takes the last close of the hours before.
+    """
+    hourly = ticks.withColumn("__hour", F.floor(F.col("event_ts_millis") / F.lit(3_600_000)))
+    ends = hourly.groupBy(*KEY, "__hour").agg(F.max_by("close", order()).alias("__end"))
+    carried = ends.withColumn("__carry", F.lag("__end").over(W.partitionBy(*KEY).orderBy("__hour"))).drop("__end")
+    w = W.partitionBy(*KEY, "__hour").orderBy("event_ts_millis", "seq_id")
+    before = F.when(F.row_number().over(w) == 1, F.col("__carry")).otherwise(F.lag("close").over(w))
     plain = F.col("high") - F.col("low")
-    return ticks.withColumn("__before", before).withColumn("__tr", F.when(F.col("__before").isNull(), plain).otherwise(F.greatest(plain, F.abs(F.col("high") - F.col("__before")), F.abs(F.col("low") - F.col("__before"))))).drop("__before")
+    ranges = F.when(F.col("__before").isNull(), plain).otherwise(F.greatest(plain, F.abs(F.col("high") - F.col("__before")), F.abs(F.col("low") - F.col("__before"))))
+    return hourly.join(carried, [*KEY, "__hour"]).withColumn("__before", before).withColumn("__tr", ranges).drop("__before", "__carry", "__hour")
 
 
 def atr(ticks: DataFrame, windows: list[WindowDef]) -> DataFrame:
