@@ -71,7 +71,7 @@ def dyadic(start: str, end: str) -> Column:
     """The fewest nodes (size, at) that cover start up to before end: node (k, a) is a * 2^k up to before (a + 1) * 2^k."""
     left, right = f"shiftright({start} + shiftleft(1L, k) - 1, k)", f"shiftright({end}, k)"
     pick = lambda odd, at: f"if({left} < {right} AND {odd} % 2 = 1, named_struct('size', k, 'at', {at}), NULL)"
-    return F.expr(f"filter(flatten(transform(sequence(0, 41), k -> array({pick(left, left)}, {pick(right, right + ' - 1')}))), x -> x IS NOT NULL)")
+    return F.expr(f"filter(flatten(transform(sequence(0, cast(floor(log2({end} - {start})) AS int)), k -> array({pick(left, left)}, {pick(right, right + ' - 1')}))), x -> x IS NOT NULL)")
 
 
 def flushes(changes: DataFrame, cadence_ms: int = 10_000, n: int = 15, sequence: str = "level_index") -> tuple[DataFrame, DataFrame]:
