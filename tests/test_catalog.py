@@ -2,7 +2,7 @@ import pytest
 from conftest import DATA
 from oracle import same
 
-from tidemark.plans.catalog import QUERIES, SQL
+from tidemark.plans.wire import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -117,6 +117,30 @@ def rolling_at_flush(ticks: DataFrame, windows: list[WindowDef]) -> DataFrame:
     return labelled(rolling(ticks, windows).groupBy(*KEY, *w, "period").agg(F.max_by("rolling_volume", "slot").alias("rolling_volume"), F.max_by("rolling_vwap", "slot").alias("rolling_vwap")))
 
 
+def running(rows: DataFrame, by: list[str], along: str, a: str, b: str, out: str, start: str | None = None, before: bool = False) -> DataFrame:
+    """Adds ``out``: y = a * y_before + b along ``along`` in each group, from ``start`` (else 0); with ``before`` the value before the row.
+
+    One pass over sorted partitions, whatever the number of groups; a task holds one batch.
+    """
+    names, types = rows.columns, dict(rows.dtypes)
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, value = None, 0.0
+        for pdf in frames:
+            values = []
+            starts = pdf[start] if start else np.zeros(len(pdf))
+            for *g, x, y, first in zip(*(pdf[c] for c in by), pdf[a], pdf[b], starts, strict=True):
+                if g != group:
+                    group, value = g, first
+                after = x * value + y
+                values.append(value if before else after)
+                value = after
+            yield pdf.assign(**{out: np.array(values, float)})
+
+    schema = ", ".join(f"{c} {types[c]}" for c in names)
+    return rows.repartition(*by).sortWithinPartitions(*by, along).mapInPandas(walk, f"{schema}, {out} double")
+
+
 def composed(rows: DataFrame, by: list[str], position: str, a: str, b: str, out: str, block: int = BLOCK) -> DataFrame:
     """Adds ``out``: y = a * y_before + b along ``position``; a row with a = 0 starts anew.
 
@@ -125,38 +149,10 @@ def composed(rows: DataFrame, by: list[str], position: str, a: str, b: str, out:
     """
     blocked = rows.withColumn("__block", F.floor(F.col(position) / F.lit(block)))
     key = [*by, "__block"]
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position)
-        p, q = 1.0, 0.0
-        for x, y in zip(pdf[a], pdf[b], strict=True):
-            p, q = p * x, x * q + y
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in key}, "__a": p, "__b": q}])
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block")
-        value, values = 0.0, []
-        for x, y in zip(pdf["__a"], pdf["__b"], strict=True):
-            values.append(value)
-            value = x * value + y
-        return pdf.assign(__in=values)[[*key, "__in"]]
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocked.schema if f.name in key)
-    blocks = blocked.select(*key, position, a, b).groupBy(*key).applyInPandas(compose, f"{schema}, __a double, __b double")
-    before = blocks.groupBy(*by).applyInPandas(carry, f"{schema}, __in double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position)
-        value, values = pdf["__in"].iloc[0], []
-        for x, y in zip(pdf[a], pdf[b], strict=True):
-            value = x * value + y
-            values.append(value)
-        return pdf.assign(**{out: np.array(values, float)}).drop(columns=["__in", "__block"])
-
-    joined = blocked.join(before, key)
-    result = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    columns = [*rows.columns, out]
-    return joined.groupBy(*key).applyInPandas(lambda pdf: run(pdf)[columns], f"{result}, {out} double")
+    step = F.struct(F.col(position), F.col(a).alias("a"), F.col(b).alias("b"))
+    blocks = blocked.groupBy(*key).agg(chained(F.array_sort(F.collect_list(step))).alias("__s"))
+    carried = running(blocks.select(*key, F.col("__s.a").alias("__ba"), F.col("__s.b").alias("__bb")), by, "__block", "__ba", "__bb", "__in", before=True)
+    return running(blocked.join(carried.select(*key, "__in"), key), key, position, a, b, out, start="__in").select(*rows.columns, out)
 
 
 def folded(values: Column, alpha: Column) -> Column:
