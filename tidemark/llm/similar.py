@@ -8,10 +8,10 @@ have millions of values. So there are ``TABLES`` independent fingerprints of ``B
    are at most two bits apart in that fingerprint, and any two that are do meet. A pair of similarity 0.8 meets with a chance of
    0.978, of 0.85 with 0.997, of 0.9 with 0.9999. 56 more bits and the size of the set travel along: pairs that differ in over ``FAR``
    of these bits (0.8: a chance of 0.0003) or too much in size are no candidates.
-3. Verification, by the exact similarity of two texts, goes in rounds, as groups are wanted, not all pairs. In each, a node is tried against
-   one node of another group that it meets (a neighbour on a ring whose order changes with the value and the round), so a round has no
-   more pairs than nodes, and most of a large group is joined soon. What is left in the end, candidates that are still in different groups and
-   untried, is verified without exception, so no link between groups is lost.
+3. Verification, by the exact similarity of two texts, goes in two rounds, as groups are wanted, not all pairs. First a node is tried against
+   ``TRIES`` nodes that it meets (neighbours on as many rings, whose orders change with the value), so there are no more pairs than
+   ``TRIES`` times the nodes, and a large group is joined almost surely. What is left then, candidates that are still in different groups
+   and untried, is verified without exception, so no link between groups is lost.
 
 Defined cases: a null or empty text is the set of one empty shingle; fewer words than a shingle make one shingle; empty tables give
 empty results; repeated rows and ids, and null ids, are treated by ``simhash.first_of_each``; further columns are kept.
@@ -34,7 +34,7 @@ TABLES = 12
 BITS = 24
 MORE = 56
 FAR = 18
-ROUNDS = 3
+TRIES = 4
 #: A step of the size code is a factor of so much: sizes that differ by a factor of 1.25 are three steps apart at most.
 STEP = 1.12
 WORDS = -(-(TABLES * BITS + MORE) // 64)
@@ -121,8 +121,8 @@ def meetings(distinct: DataFrame, partitions: int) -> DataFrame:
     return balls.repartition(partitions, "v").sortWithinPartitions("v").mapInArrow(met, "v long, node long, more long")
 
 
-def candidates(members: DataFrame, partitions: int, salt: int | None) -> DataFrame:
-    """(a, b) of nodes of different groups: one for each node and value, or, without a salt, all. ``members``: v, node, more, root."""
+def candidates(members: DataFrame, partitions: int, tries: int | None) -> DataFrame:
+    """(a, b) of nodes of different groups: so many for each node, or, with None, all. ``members``: v, node, more, root."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v, node, more, root in by_value(batches):
@@ -133,35 +133,36 @@ def candidates(members: DataFrame, partitions: int, salt: int | None) -> DataFra
                 x, m, r = node[at], more[at], root[at]
                 if n < 2 or (r == r[0]).all():
                     continue
-                if salt is None:
+                if tries is None:
                     for i in range(0, n, 128):  # in blocks
                         p, q = np.nonzero((r[i : i + 128, None] != r[None, :]) & alike(m[i : i + 128, None], m[None, :]))
                         p = p + i
-                        out.append((x[p[p < q]], x[q[p < q]]))
+                        out.append((x[p[p < q]], x[q[p < q]], np.zeros(int((p < q).sum()), np.int32)))
                         if len(out[-1][0]) > 100_000:
                             yield pairs(out)
                             out = []
                     continue
-                order = np.argsort(mix64(x.view(np.uint64) ^ mix64(v[at].view(np.uint64) + np.uint64(salt))))
-                x, m, r = (np.concatenate((c[order], c[order])) for c in (x, m, r))
-                # the next of another group on the ring
-                change = np.flatnonzero(r[1:] != r[:-1]) + 1
-                to = change[np.minimum(np.searchsorted(change, np.arange(n), "right"), len(change) - 1)]
-                ok = alike(m[:n], m[to]) & (r[:n] != r[to])
-                out.append((x[:n][ok], x[to][ok]))
+                for salt in range(tries):
+                    order = np.argsort(mix64(x.view(np.uint64) ^ mix64(v[at].view(np.uint64) + np.uint64(salt))))
+                    xs, ms, rs = (np.concatenate((c[order], c[order])) for c in (x, m, r))
+                    # the next of another group on the ring
+                    change = np.flatnonzero(rs[1:] != rs[:-1]) + 1
+                    to = change[np.minimum(np.searchsorted(change, np.arange(n), "right"), len(change) - 1)]
+                    ok = alike(ms[:n], ms[to]) & (rs[:n] != rs[to])
+                    out.append((xs[:n][ok], xs[to][ok], np.full(int(ok.sum()), salt, np.int32)))
             yield pairs(out)
 
     def pairs(out: list) -> pa.RecordBatch:
-        a, b = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-        if salt is None:
+        a, b, ring = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, np.int32)))
+        if tries is None:
             a, b = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ring)], ["a", "b", "ring"])
 
-    rows = members.select("v", "node", "more", "root").repartition(partitions, "v").sortWithinPartitions("v").mapInArrow(found, "a long, b long")
-    if salt is None:
-        return rows.distinct()
-    # each node is tried against one
-    one = rows.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", F.lit(salt)).alias("o"), "b")).alias("y")).select("a", F.col("y.b").alias("b"))
+    rows = members.select("v", "node", "more", "root").repartition(partitions, "v").sortWithinPartitions("v").mapInArrow(found, "a long, b long, ring int")
+    if tries is None:
+        return rows.select("a", "b").distinct()
+    # on each ring, a node is tried against one
+    one = rows.groupBy("a", "ring").agg(F.min(F.struct(F.xxhash64("b", "ring").alias("o"), "b")).alias("y")).select("a", F.col("y.b").alias("b"))
     return one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -201,11 +202,11 @@ def rooted(docs: DataFrame, key: str, text: str, words: int, least: float) -> Da
     bodies = stored(docs.select(text_hash(text).alias("h"), F.col(text).alias("body")).filter(wanted.column("h")).join(hashes, "h").dropDuplicates(["node"]).select("node", "body"))
     labels = None
     tried = None
-    for salt in [*range(ROUNDS), None]:
+    for tries in (TRIES, None):
         named = members.withColumn("root", F.col("node"))
         if labels is not None:
             named = members.join(labels.withColumnRenamed("root", "r"), "node", "left").select("v", "node", "more", F.coalesce("r", "node").alias("root"))
-        pairs = candidates(named, partitions, salt)
+        pairs = candidates(named, partitions, tries)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         new = stored(verified(pairs, bodies, words, least))
