@@ -84,7 +84,7 @@ class BitFilter:
     def words(self) -> np.ndarray:
         held = BitFilter._unpacked
         if self.tag not in held:
-            if len(held) >= 4:
+            if len(held) >= 5:
                 held.clear()
             held[self.tag] = np.frombuffer(zlib.decompress(self.blob), np.uint64)
         return held[self.tag]

@@ -7,6 +7,8 @@ windows of ``length`` bytes share:
 2. The anchor of a window is the first of its substrings of ``GRAM`` bytes with the least hash. Equal windows have equal anchors at
    equal distances. Neighbouring windows with one anchor place make a chunk. Chunks whose anchor hash occurs once in the corpus hold
    no repeat; a bit filter of the other hashes lets the rest pass (and some more, which costs time but changes nothing).
+   Short strings repeat by chance, more of them the larger the corpus. A window holds its anchor with ``half`` of its other bytes, either
+   after or before the anchor; so of the chunks left, only those go on of which one of these two longer strings occurs again, too.
 3. A chunk becomes one string: its bytes from the anchor on, then those before the anchor backwards. Each task sorts its strings into a
    run, front-coded: the length of the prefix shared with the one before, and the rest. Equal strings are one entry; the places stay
    behind in a written table, by entry. Runs are cut into key ranges (from a bounded sample), exchanged, and merged by a loser tree whose
@@ -130,6 +132,21 @@ class Chunks:
             parts.append((window[k], np.diff(np.append(k, len(row))), place[k], value[row[k]]))
         self.at, self.n, self.place, self.value = (np.concatenate(x) for x in zip(*parts, strict=True))
 
+    def wider(self, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers (in ``which``) and hashes of the anchors of some chunks with the ``half`` bytes after them and before them.
+
+        An anchor at d bytes from its window's start has ``half`` bytes of the window after it if d <= half, and before it if d >= half.
+        """
+        half = (length - GRAM) // 2
+        at, n, place = self.at[which], self.n[which], self.place[which]
+        after, before = np.flatnonzero(at + n - 1 >= place - half), np.flatnonzero(at <= place - half)
+        if not len(which):
+            return which, np.zeros(0, np.uint64)
+        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(self.joined, np.uint8), GRAM + half)
+        with np.errstate(over="ignore"):
+            factors = np.cumprod(np.full(GRAM + half, ODD[0]))
+            return np.concatenate((after, before)), np.concatenate([mix64((view[p].astype(np.uint64) + np.uint64(1)) @ factors + odd) for p, odd in ((place[after], ODD[1]), (place[before] - half, ODD[2]))])
+
     def piece(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
@@ -465,17 +482,29 @@ def unpacked_places(blob: bytes) -> tuple[np.ndarray, ...]:
 class Sorter:
     """What a task needs to turn texts into strings to sort."""
 
-    def __init__(self, length: int, piece: int, again: Shared, hot: Shared | None = None, windows: Shared | None = None):
-        self.length, self.piece, self.again, self.hot, self.windows = length, piece, again, hot, windows
+    def __init__(self, length: int, piece: int, again: Shared):
+        self.length, self.piece, self.again = length, piece, again
+        self.hot: Shared | None = None
+        self.windows: Shared | None = None
+        self.wide: Shared | None = None
+
+    def plain(self, c: Chunks) -> np.ndarray:
+        """Chunks whose anchor occurs again, but isn't split."""
+        which = np.flatnonzero(self.again.hit(c.value))
+        return which if self.hot is None else which[~self.hot.hit(c.value[which])]
+
+    def wider(self, c: Chunks) -> np.ndarray:
+        return c.wider(self.plain(c), self.length)[1]
 
     def strings(self, raws: list[bytes]) -> Iterator[tuple[bytes, int, int]]:
         """(string, text, anchor in the text)"""
         for held, of, offsets in pieces(raws, self.length, self.piece):
             c = Chunks(held, self.length)
-            which = np.flatnonzero(self.again.hit(c.value))
+            which = self.plain(c)
+            number, h = c.wider(which, self.length)
+            which = which[np.unique(number[self.wide.hit(h)])]
             if self.hot is not None:
-                hot = self.hot.hit(c.value[which])
-                split, which = which[hot], which[~hot]
+                split = np.flatnonzero(self.hot.hit(c.value))
                 if len(split):
                     first, h = c.windows(split, self.length)
                     first = first[self.windows.hit(h)]
@@ -496,6 +525,7 @@ def spans(body: Distinct, length: int, piece: int, log2_bits: int, hot: int) ->
         held = Shared(spark, often)
         windows = counts(body, length, piece, lambda c: c.windows(np.flatnonzero(held.hit(c.value)), length)[1]).filter("n > 1").select("h")
         sorter.hot, sorter.windows = held, Shared(spark, hash_filter(windows, log2_bits))
+    sorter.wide = Shared(spark, hash_filter(counts(body, length, piece, sorter.wider).filter("n > 1").select("h"), log2_bits))
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
