@@ -3,6 +3,8 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
+
 from tidemark.llm import lines, similar, simhash, suffix
 from tidemark.llm.components import connected_components
 
@@ -75,6 +77,38 @@ def test_suffix_dedup_with_small_filters(spark):
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], (log2_bits, r["doc_id"])
 
 
+def test_suffix_dedup_has_one_row_for_each_repeated_stretch(spark, monkeypatch):
+    random.seed(12)
+    some = lambda n: "".join(random.choice("abcdefghij ") for _ in range(n))
+    near, p = some(1200), some(260)
+    texts = [near[:k] + f"#{k}#" + near[k + 3 :] for k in range(30, 1170, 40)] + [some(60) + "Is onhe. " * k + some(60) for k in range(25, 60)]
+    texts += [some(40) + p + some(250) + p + some(k) for k in range(9)] + [some(500), "short", "", None]
+    want = list(brute(texts))
+    found, real = [], suffix.spans
+    monkeypatch.setattr(suffix, "spans", lambda *a: found.append(suffix.stored(real(*a))) or found[-1])
+    for hot, piece in ((3, 1 << 20), (20, 150), (4096, 1 << 20)):  # all, some or no anchors split into windows, which made a row each
+        for r in suffix.summary(suffix.remove_repeats(frame(spark, texts), hot=hot, piece=piece)).collect():
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], (hot, r["doc_id"])
+        assert found[-1].count() == sum(w[2] for w in want), hot
+
+
+def test_stretches_of_spans():
+    random.seed(13)
+    for n in (0, 1, 2, 40, 400):
+        spans = [(random.randint(-1, 1), random.randint(-1, 1), a, a + random.randint(1, 9)) for a in (random.randint(0, 150) for _ in range(n))]
+        want = []
+        for text, own in itertools.groupby(sorted(spans), lambda s: s[:2]):
+            merged = []
+            for _, _, a, b in own:
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            want += [(*text, a, b) for a, b in merged]
+        columns = np.array(spans, np.int64).reshape(-1, 4).T
+        assert list(zip(*(x.tolist() for x in suffix.stretches(*columns)), strict=True)) == want
+
+
 def test_reaches_of_chunks():
     random.seed(3)
     for _ in range(300):

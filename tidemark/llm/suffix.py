@@ -11,7 +11,7 @@ windows of ``length`` bytes share:
    after or before the anchor; so of the chunks left, only those go on of which one of these two longer strings occurs again, too.
 3. A chunk becomes one string: its bytes from the anchor on, then those before the anchor backwards. Each task sorts its strings into a
    run, front-coded: the length of the prefix shared with the one before, and the rest. Equal strings are one entry; the places stay
-   behind in a written table, by entry. Runs are cut into key ranges (from a bounded sample), exchanged, and merged by a loser tree whose
+   behind in a written table, by entry, those of a run in one row. Runs are cut into key ranges (from a bounded sample), exchanged, and merged by a loser tree whose
    entries carry the length of the prefix they share with the last winner: a longer one wins without looking, and of equals only what
    follows that prefix is compared.
 4. Shared lengths decide. Two chunks with ``l`` equal bytes before their anchors and ``r`` from there on share a window if and only if
@@ -21,7 +21,9 @@ windows of ``length`` bytes share:
 5. An anchor that occurs more than ``HOT`` times has its chunks split into single windows, of which those with a repeated hash are
    sorted like the rest: there, strings that meet are repeated. A group of chunks thus never has more than ``HOT`` members, and an
    entry comes once from each run, however often the run saw it.
-6. Reaches go back to the places, as spans of bytes of texts. Only documents whose hash is among those of texts with spans (a bit filter
+6. Reaches of all key ranges go back to the places of their run, as spans of bytes of texts. All strings of a text are in one run, so
+   spans that meet or overlap are joined there: a row for each maximal repeated stretch of a text, however many chunks or single windows
+   of hot anchors it is made of. Only documents whose hash is among those of texts with spans (a bit filter
    again) are joined to them; the others pass unshuffled.
 
 A full filter sends more strings to the sort and changes no result. ``docs`` is read several times and must give the same rows each time.
@@ -273,7 +275,7 @@ def packed_run(strings: list[bytes], many: np.ndarray | None = None) -> bytes:
 class Run:
     """Reads a front-coded run; holds one string at a time."""
 
-    def __init__(self, blob: bytes, name: int = 0):
+    def __init__(self, blob: bytes, name: tuple[int, int] = (0, 0)):
         raw = zlib.decompress(blob)
         n = int(np.frombuffer(raw, "<u4", 1)[0])
         self.shared = np.frombuffer(raw, "<u4", n, 4).tolist()
@@ -432,6 +434,10 @@ def decided(runs: list[Run], length: int) -> Iterator[tuple[Run, int, int, int]]
     yield from settle()
 
 
+#: Written runs: rows of strings have no places, rows of places no range.
+RUNS = pa.schema({"run": pa.int64(), "range": pa.int32(), "first": pa.int32(), "strings": pa.binary(), "places": pa.binary()})
+
+
 class Builder:
     """The distinct strings of some texts, with their places (text, anchor)."""
 
@@ -452,7 +458,7 @@ class Builder:
         self.at.append(at)
 
     def rows(self, cuts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        """A run, cut at the ranges: (run, range, strings, places)."""
+        """A run, cut at the ranges: (run, range, number of the first entry, strings), then the places of all of it: (run, places)."""
         name = uuid.uuid4().int >> 65
         strings = sorted(self.number)
         rank = np.empty(len(strings), np.int64)
@@ -465,11 +471,12 @@ class Builder:
             k = bisect_right(cuts, group_of(s))
             if not edges or edges[-1][0] != k:
                 edges.append((k, i))
+        many = np.bincount(where, minlength=len(strings)) > 1
         for j, (k, begin) in enumerate(edges):
             end = edges[j + 1][1] if j + 1 < len(edges) else len(strings)
-            a, b = np.searchsorted(where, (begin, end))
-            places = zlib.compress(b"".join(x.tobytes() for x in (np.array([b - a], "<i8"), (where[a:b] - begin).astype("<i4"), t[a:b, 0].copy(), t[a:b, 1].copy(), at[a:b])), 1)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([k], pa.int32()), pa.array([packed_run(strings[begin:end], np.bincount(where[a:b] - begin, minlength=end - begin) > 1)], pa.binary()), pa.array([places], pa.binary())], ["run", "range", "strings", "places"])
+            yield pa.RecordBatch.from_pylist([{"run": name, "range": k, "first": begin, "strings": packed_run(strings[begin:end], many[begin:end])}], RUNS)
+        places = zlib.compress(b"".join(x.tobytes() for x in (np.array([len(where)], "<i8"), where.astype("<i4"), t[:, 0].copy(), t[:, 1].copy(), at)), 1)
+        yield pa.RecordBatch.from_pylist([{"run": name, "places": places}], RUNS)
 
 
 def unpacked_places(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -479,6 +486,23 @@ def unpacked_places(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.frombuffer(raw, "<i4", n, 8), *(np.frombuffer(raw, "<i8", n, 8 + 4 * n + 8 * n * k) for k in range(3))
 
 
+def stretches(t1: np.ndarray, t2: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The spans [a, b) of texts, those of a text joined where they meet or overlap."""
+    if not len(a):
+        return t1, t2, a, b
+    order = np.lexsort((a, t2, t1))
+    t1, t2, a, b = (x[order] for x in (t1, t2, a, b))
+    other = np.zeros(len(a), bool)
+    other[1:] = (t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])
+    base = np.cumsum(other, dtype=np.int64) << 40  # ends of a text before it don't reach into the next
+    end = np.maximum.accumulate(base + b)
+    new = np.ones(len(a), bool)
+    new[1:] = (base + a)[1:] > end[:-1]
+    k = np.flatnonzero(new)
+    last = np.append(k[1:], len(a)) - 1
+    return t1[k], t2[k], a[k], (end - base)[last]
+
+
 class Sorter:
     """What a task needs to turn texts into strings to sort."""
 
@@ -550,27 +574,31 @@ def spans(body: Distinct, length: int, piece: int, log2_bits: int, hot: int) ->
             yield from held.rows(shared.value)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((k, name, blob) for batch in batches for k, name, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        for k, of_range in groupby(rows, lambda r: r[0]):
-            runs = [Run(blob, name) for _, name, blob in of_range]
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, of_range in groupby(rows, lambda r: r[0]):
+            runs = [Run(blob, (name, first)) for _, name, first, blob in of_range]
             found = {id(r): np.zeros((2, r.n), "<u2") for r in runs}
             for run, i, a, b in decided(runs, length):
                 found[id(run)][:, i] = a, b
             some = [r for r in runs if found[id(r)].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([r.name for r in some], pa.int64()), pa.array([k] * len(some), pa.int32()), pa.array([zlib.compress(found[id(r)].tobytes(), 1) for r in some], pa.binary())], ["run", "range", "reach"])
+            yield pa.RecordBatch.from_arrays([pa.array([r.name[0] for r in some], pa.int64()), pa.array([r.name[1] for r in some], pa.int32()), pa.array([zlib.compress(found[id(r)].tobytes(), 1) for r in some], pa.binary())], ["run", "first", "reach"])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 64):
-            for places, reach in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                entry, t1, t2, at = unpacked_places(places)
-                before, after = np.frombuffer(zlib.decompress(reach), "<u2").reshape(2, -1)[:, entry].astype(np.int64)
-                some = np.flatnonzero(after)
-                yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (t1, t2, at - before, at + after)], ["t1", "t2", "a", "b"])
-
-    table = stored(body.apply(sorted_runs, "run long, range int, strings binary, places binary"))
+        for batch in sliced(batches, 1):
+            entry, t1, t2, at = unpacked_places(batch.column(0)[0].as_py())
+            reach = np.zeros((2, int(entry.max()) + 1), np.int64)
+            for part in batch.column(1)[0].as_py():
+                found = np.frombuffer(zlib.decompress(part["reach"]), "<u2").reshape(2, -1)
+                reach[:, part["first"] : part["first"] + found.shape[1]] = found
+            some = np.flatnonzero(reach[1][entry])
+            before, after = reach[:, entry[some]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stretches(t1[some], t2[some], at[some] - before, at[some] + after)], ["t1", "t2", "a", "b"])
+
+    table = stored(body.apply(sorted_runs, "run long, range int, first int, strings binary, places binary"))
     # runs go by their key range, places wait
-    reach = table.select("range", "run", "strings").repartition(partitions, "range").sortWithinPartitions("range").mapInArrow(lambda batches: released(merged(batches)), "run long, range int, reach binary")
-    return table.select("run", "range", "places").join(reach, ["run", "range"]).select("places", "reach").mapInArrow(lambda batches: released(placed(batches)), "t1 long, t2 long, a long, b long")
+    strings = table.filter("range IS NOT NULL").select("range", "run", "first", "strings").repartition(partitions, "range").sortWithinPartitions("range")
+    reach = strings.mapInArrow(lambda batches: released(merged(batches)), "run long, first int, reach binary").groupBy("run").agg(F.collect_list(F.struct("first", "reach")).alias("reaches"))
+    return table.filter("range IS NULL").select("run", "places").join(reach, "run").select("places", "reaches").mapInArrow(lambda batches: released(placed(batches)), "t1 long, t2 long, a long, b long")
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200, log2_bits: int = LOG2_BITS, hot: int = HOT, piece: int = PIECE) -> DataFrame:
